@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, mjpeg, simhash, url_filter
+from . import ann, bpe, langid, mjpeg, pii, quality, simhash, toxicity, url_filter
 from .common import table
 
 #: The rules that the query on pages applies: (verdict, host, path).
@@ -47,12 +47,35 @@ def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_verdicts,
+    "op2_weak_pii": personal_data,
     "op3_graph_ann": nearest_vectors,
     "op4_mjpeg_media": media_columns,
+    "op5_fm_toxicity": toxicity_scores,
     "op7_tree_bpe": token_ids,
+    "op8_qda_quality": quality_scores,
     "op9_simhash_dedup": near_duplicate_documents,
+    "op10_cnn_langid": languages,
 }
 
 
