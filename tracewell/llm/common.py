@@ -64,6 +64,16 @@ def map_batches(
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def row_type(df: DataFrame) -> str:
+    """DDL of a struct of all of df's columns."""
+    return df.schema.simpleString()
+
+
+def whole_rows(df: DataFrame) -> Column:
+    """All of df's columns as one column, `row`, so that no name can clash with a new column."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def batch_of(columns: dict[str, list], types: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in types.items()], names=list(types))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import batch_of, held_out, map_batches
+from .common import batch_of, held_out, map_batches, row_type, whole_rows
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 8, 8
 LANGUAGES, SAMPLE, WINDOWS = 64, 500, 4
@@ -162,30 +162,41 @@ def train(docs: DataFrame, mod: int = 4, part: int = 2, sample: int = SAMPLE) ->
     return fit(windows, np.searchsorted(languages, got.lang.to_numpy(dtype=str)), languages)
 
 
+def judge(texts: list[str | None], model: ByteNetwork | None) -> tuple[list[str], list[float]]:
+    lang, score = ["und"] * len(texts), [0.0] * len(texts)
+    for start in range(0, len(texts), 64):
+        some = [k for k in range(start, min(len(texts), start + 64)) if texts[k] and has_letter(texts[k])] if model else []
+        if not some:
+            continue
+        parts = [byte_windows(texts[k]) for k in some]
+        counts = np.array([len(p) for p in parts])
+        windows = np.vstack(parts)
+        weight = np.maximum(1, (windows != 0).sum(axis=1))[:, None]
+        p = np.add.reduceat(model.probabilities(windows) * weight, np.cumsum(counts) - counts)
+        p /= p.sum(axis=1, keepdims=True)
+        for k, row in zip(some, p):
+            best = int(row.argmax())
+            lang[k], score[k] = model.languages[best], min(1.0, float(row[best]))
+    return lang, score
+
+
 def identify(docs: DataFrame, model: ByteNetwork | None, mod: int = 4, part: int = 2) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of docs."""
     types = {"doc_id": pa.int64(), "held_out": pa.bool_(), "lang_pred": pa.string(), "score": pa.float64()}
 
-    def judge(texts: list[str | None]) -> tuple[list[str], list[float]]:
-        lang, score = ["und"] * len(texts), [0.0] * len(texts)
-        for start in range(0, len(texts), 64):
-            some = [k for k in range(start, min(len(texts), start + 64)) if texts[k] and has_letter(texts[k])] if model else []
-            if not some:
-                continue
-            parts = [byte_windows(texts[k]) for k in some]
-            counts = np.array([len(p) for p in parts])
-            windows = np.vstack(parts)
-            weight = np.maximum(1, (windows != 0).sum(axis=1))[:, None]
-            p = np.add.reduceat(model.probabilities(windows) * weight, np.cumsum(counts) - counts)
-            p /= p.sum(axis=1, keepdims=True)
-            for k, row in zip(some, p):
-                best = int(row.argmax())
-                lang[k], score[k] = model.languages[best], min(1.0, float(row[best]))
-        return lang, score
-
     def process(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lang, score = judge(batch.column(2).to_pylist())
+        lang, score = judge(batch.column(2).to_pylist(), model)
         yield batch_of({"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": lang, "score": score}, types)
 
     return map_batches(docs, [F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", mod, part).alias("held_out"), "text"], process,
                        "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def with_language(docs: DataFrame, model: ByteNetwork | None) -> DataFrame:
+    """(row, lang_pred, score): every row of docs as it is, with its language."""
+
+    def process(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lang, score = judge(batch.column(0).field("text").to_pylist(), model)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
+
+    return map_batches(docs, [whole_rows(docs)], process, f"row {row_type(docs)}, lang_pred string, score double")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, mjpeg, pii, quality, simhash, toxicity, url_filter
+from . import ann, bpe, langid, mjpeg, packing, pii, quality, simhash, toxicity, url_filter
 from .common import table
 
 #: The rules that the query on pages applies: (verdict, host, path).
@@ -34,6 +34,16 @@ def media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mjpeg.media_digest(media).withColumnRenamed("id", "doc_id")
 
 
+def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,10 +82,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_graph_ann": nearest_vectors,
     "op4_mjpeg_media": media_columns,
     "op5_fm_toxicity": toxicity_scores,
+    "op6_best_fit_packing": packed_sequences,
     "op7_tree_bpe": token_ids,
     "op8_qda_quality": quality_scores,
     "op9_simhash_dedup": near_duplicate_documents,
     "op10_cnn_langid": languages,
+    "pipeline": pipeline,
 }
 
 

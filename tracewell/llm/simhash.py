@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, durable, map_batches
+from .common import batch_of, durable, map_batches, row_type, whole_rows
 
 SEED, BITS, SEGMENT = 42, 64, 2
 RADIUS, BLOCKS = 3, 6
@@ -198,3 +198,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = labelled.join(least, "root").select("fp", "component_id")
     # The side of the documents may hold one fingerprint many times; adaptive execution splits such partitions of a sort-merge join.
     return docs.join(named.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs with one row of each near-duplicate group: the one whose doc_id is the smallest.
+
+    Rows without a doc_id stay only where no row of their group has one, one for
+    each fingerprint.
+    """
+    found = durable(near_duplicates(docs))
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
+    alone = found.where("component_id is null").select("fingerprint").distinct()
+    types = {"row": None, "fingerprint": pa.string()}
+
+    def process(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        marks = [f"{fingerprint(t) & (1 << 64) - 1:016x}" for t in batch.column(0).field("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.string())], names=list(types))
+
+    marked = map_batches(nameless, [whole_rows(docs)], process, f"row {row_type(docs)}, fingerprint string")
+    kept = marked.join(alone, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select("row.*")
+    return named.select(*docs.columns).unionByName(kept)

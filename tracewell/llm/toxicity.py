@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, held_out, labelled_ids, map_batches
+from .common import batch_of, held_out, labelled_ids, map_batches, row_type, whole_rows
 
 BUCKETS, TERMS, FACTORS, SAMPLE = 1 << 22, 4096, 8, 8000
 _WORD = re.compile(r"\w+")
@@ -186,3 +186,15 @@ def score(docs: DataFrame, model: FactorizationMachine, mod: int = 5, part: int
 
     return map_batches(docs, [F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", mod, part).alias("held_out"), "text"], process,
                        "doc_id long, held_out boolean, score double, predicted int")
+
+
+def with_score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
+    """(row, score): every row of docs as it is, with its score."""
+    model_ref = docs.sparkSession.sparkContext.broadcast(model)
+
+    def process(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        fm = model_ref.value
+        s = fm.score_rows([fm.read(t) for t in batch.column(0).field("text").to_pylist()])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["row", "score"])
+
+    return map_batches(docs, [whole_rows(docs)], process, f"row {row_type(docs)}, score double")
