@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, held_out, labelled_ids, map_batches, row_type, whole_rows
+from .common import batch_of, durable, held_out, labelled_ids, map_batches, row_type, whole_rows
 
 BUCKETS, TERMS, FACTORS, SAMPLE = 1 << 22, 4096, 8, 8000
 _WORD = re.compile(r"\w+")
@@ -100,27 +100,18 @@ class FactorizationMachine:
         return np.array(ids, np.int64), 1 + np.log(np.array([found[i] for i in ids], np.float64))
 
 
-def _select(docs: list[np.ndarray], y: np.ndarray, terms: int) -> np.ndarray:
-    """Buckets in 3 documents or more, by the size of the z-score between the classes' shares."""
-    flat = np.concatenate([*docs, np.zeros(0, np.int64)])
-    label = np.repeat(y, [len(d) for d in docs])
-    found, inverse = np.unique(flat, return_inverse=True)
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    c1 = np.bincount(inverse, weights=label, minlength=len(found))
-    c0 = np.bincount(inverse, weights=1 - label, minlength=len(found))
+def z_score(c1, c0, n1, n0):
+    """How surely the shares c1 / n1 and c0 / n0 differ; works on numbers, arrays and Columns."""
     p = (c1 + c0 + 1) / (n1 + n0 + 2)
-    z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    z[c1 + c0 < 3] = 0
-    best = np.lexsort((found, -z))[:terms]
-    return np.sort(found[best[z[best] > 3]])
+    return (c1 / n1 - c0 / n0) / (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5
 
 
-def fit(docs: list[tuple[list[int], list[float]]], labels: list[int], terms: int = TERMS, factors: int = FACTORS, epochs: int = 200, seed: int = 3) -> FactorizationMachine:
+def fit(chosen: np.ndarray, docs: list[tuple[list[int], list[float]]], labels: list[int], factors: int = FACTORS, epochs: int = 200, seed: int = 3) -> FactorizationMachine:
+    """Fit on documents as (buckets, values), of which those in chosen (sorted) count."""
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
         const = -30.0 if not len(y) or y.max() == 0 else 30.0
         return FactorizationMachine(np.zeros(0, np.int64), const, np.zeros(0), np.zeros((0, factors)))
-    chosen = _select([np.asarray(ids, np.int64) for ids, _ in docs], y, terms)
     rng = np.random.default_rng(seed)
     fm = FactorizationMachine(chosen, float(np.log(y.mean() / (1 - y.mean()))), np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), factors)))
     rows = [fm.positions(*d) for d in docs]
@@ -158,7 +149,7 @@ def fit(docs: list[tuple[list[int], list[float]]], labels: list[int], terms: int
     return fm
 
 
-def train(docs: DataFrame, labels: DataFrame, mod: int = 5, part: int = 0, sample: int = SAMPLE) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, mod: int = 5, part: int = 0, sample: int = SAMPLE, terms: int = TERMS) -> FactorizationMachine:
     ids = labelled_ids(labels, "toxic", mod, part, sample)
     # The sample's ids are bounded by the limit, whatever the size of the tables.
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
@@ -168,10 +159,28 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, part: int = 0, sampl
         found = [buckets_of(t) for t in batch.column(0).to_pylist()]
         yield batch_of({"terms": [t for t, _ in found], "weights": [x for _, x in found], "label": batch.column(1), "doc_id": batch.column(2)}, types)
 
-    got = map_batches(texts, ["text", "label", F.col("doc_id").cast("long").alias("doc_id")], process, "terms array<int>, weights array<double>, label int, doc_id long").toArrow()
+    sampled = durable(map_batches(texts, ["text", "label", F.col("doc_id").cast("long").alias("doc_id")], process, "terms array<int>, weights array<double>, label int, doc_id long"))
+    n = sampled.agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0")).first()
+    n1, n0 = max(1, n["n1"] or 0), max(1, n["n0"] or 0)
+    # Buckets in 3 documents or more, by how surely their shares differ; at most terms of them reach the driver.
+    counts = sampled.select("label", F.explode("terms").alias("bucket")).groupBy("bucket").agg(
+        F.sum("label").alias("c1"), F.sum(1 - F.col("label")).alias("c0")).where("c1 + c0 >= 3")
+    best = counts.withColumn("z", F.abs(z_score(F.col("c1"), F.col("c0"), n1, n0))).where("z > 3").orderBy(F.desc("z"), "bucket").limit(terms)
+    chosen = np.array(sorted(r["bucket"] for r in best.select("bucket").collect()), np.int64)
+
+    def reduce(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out_terms, out_weights = [], []
+        for t, x in zip(batch.column(0), batch.column(1)):
+            t, x = t.values.to_numpy(), x.values.to_numpy()
+            keep = np.isin(t, chosen)
+            out_terms.append(t[keep])
+            out_weights.append(x[keep])
+        yield batch_of({"terms": out_terms, "weights": out_weights, "label": batch.column(2), "doc_id": batch.column(3)}, types)
+
+    got = map_batches(sampled, ["terms", "weights", "label", "doc_id"], reduce, "terms array<int>, weights array<double>, label int, doc_id long").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    terms, weights, label = got.column("terms"), got.column("weights"), got.column("label").to_numpy()
-    return fit([(terms[int(k)].values.to_numpy(), weights[int(k)].values.to_numpy()) for k in order], label[order].tolist())
+    t, x, label = got.column("terms"), got.column("weights"), got.column("label").to_numpy()
+    return fit(chosen, [(t[int(k)].values.to_numpy(), x[int(k)].values.to_numpy()) for k in order], label[order].tolist())
 
 
 def score(docs: DataFrame, model: FactorizationMachine, mod: int = 5, part: int = 0) -> DataFrame:
