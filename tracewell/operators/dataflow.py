@@ -82,11 +82,15 @@ _REACH = types.ArrayType(types.StructType([types.StructField("line", types.Integ
 
 
 @F.pandas_udf(_REACH)
-def _reached(stmts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _reached_of(stmts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in stmts:
         yield batch.map(lambda s: [] if s is None else [{"line": a, "action": b} for a, b in reached(list(s))])
 
 
+# Declared nondeterministic only so that the optimizer neither repeats it nor moves it into other operators.
+_reached = _reached_of.asNondeterministic()
+
+
 def annotated(df: DataFrame) -> DataFrame:
     """df whose ops also have is_action, lazy and materialized_at."""
     df = df.withColumn("stmts", F.when(F.exists("ops", lambda o: ~o["is_io"]), statements(F.col("masked_body"))))
