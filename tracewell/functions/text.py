@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell import patterns as P
@@ -41,23 +41,35 @@ def mask_literals(c: Column) -> Column:
     return F.array_join(F.zip_with(F.split(c, P.LITERALS, -1), blank, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
-def places(c: Column, pattern: str) -> Column:
-    """All matches of pattern in c, leftmost first and without overlap: array of (at, line, part).
+PLACES = "array<struct<at:int,line:int,part:string>>"
+
+
+def raw(pattern: str) -> str:
+    """A pattern as an SQL literal in which backslashes stand for themselves."""
+    if "'" in pattern:
+        raise ValueError("a pattern with an apostrophe needs another literal")
+    return f"r'{pattern}'"
+
+
+def places_sql(c: str, pattern: str) -> str:
+    """SQL: all matches of pattern in c, leftmost first and without overlap: array of (at, line, part).
 
     at counts characters from 0 and line line feeds before it; part is the text
-    from the match to the next one.
+    from the match to the next one. Texts without a match cost one search.
     """
-    parts = F.split(F.regexp_replace(c, F.lit(pattern), F.lit(MARK + "$0")), MARK, -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("line"), F.array().cast("array<struct<at:int,line:int,part:string>>").alias("out"))
+    rx = raw(pattern)
+    fold = f"""aggregate(split(regexp_replace({c}, {rx}, concat(chr(1), '$0')), chr(1), -1),
+        named_struct('at', 0, 'line', 0, 'out', CAST(array() AS {PLACES})),
+        (s, p) -> named_struct(
+            'at', s.at + char_length(p), 'line', s.line + (char_length(p) - char_length(replace(p, chr(10), ''))),
+            'out', concat(s.out, array(named_struct('at', s.at, 'line', s.line, 'part', p)))),
+        s -> slice(s.out, 2, size(s.out)))"""
+    # The first part lies before any match, so it is left out.
+    return f"CASE WHEN {c} RLIKE {rx} THEN {fold} ELSE CAST(array() AS {PLACES}) END"
 
-    def step(s: Column, part: Column) -> Column:
-        return F.struct(
-            (s["at"] + F.char_length(part)).alias("at"), (s["line"] + newlines(part)).alias("line"),
-            F.concat(s["out"], F.array(F.struct(s["at"].alias("at"), s["line"].alias("line"), part.alias("part")))).alias("out"))
 
-    # The first part lies before any match.
-    found = F.aggregate(parts, start, step, lambda s: F.slice(s["out"], F.lit(2), F.size(s["out"])))
-    return F.when(F.size(parts) > 1, found).otherwise(F.array().cast("array<struct<at:int,line:int,part:string>>"))
+def places(column: str, pattern: str) -> Column:
+    return F.expr(places_sql(column, pattern))
 
 
 def closing(c: Column, pair: str) -> Column:
@@ -125,3 +137,12 @@ def code_window(source: Column, start: Column, end: Column, focus: Column, aroun
 
 def letters_only(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z]", "")
+
+
+def unfold(df: DataFrame, keep: list, column: str | Column, name: str = "x") -> DataFrame:
+    """A row for each element of an array, with the kept columns.
+
+    The outer form is used and nulls dropped after it, because for the plain form
+    the optimizer adds a filter on the array's size that computes the array again.
+    """
+    return df.select(*keep, F.explode_outer(column).alias(name)).where(F.col(name).isNotNull())

@@ -83,8 +83,8 @@ def _points(contract: Contract) -> Column:
 def findings(methods: DataFrame, contract: Contract) -> DataFrame:
     """One row per finding of methods outside tests. Logs near a place are looked up within its method's row."""
     keys = [c for c in ("scan_id", "path") if c in methods.columns]
-    rows = methods.where(~F.col("is_test")).select(
-        *keys, "method_ord", "class_name", F.col("name").alias("method"), "logs", F.explode(_points(contract)).alias("p"))
+    kept = [*keys, "method_ord", "class_name", F.col("name").alias("method"), "logs"]
+    rows = T.unfold(methods.where(~F.col("is_test")), kept, _points(contract), "p")
     near = lambda x, line: F.abs(x["line"] - line) <= contract.proximity
     at, run = F.col("p.line"), F.col("p.execution_line")
     moved = F.coalesce(run != at, F.lit(False))
@@ -136,7 +136,7 @@ def scores(found: DataFrame, methods: DataFrame, project_type: str = "java-spark
         ratio = F.when(F.sum(F.when(here, 1).otherwise(0)) > 0, F.try_divide(F.sum(F.when(here & covered(), 1).otherwise(0)), F.sum(F.when(here, 1).otherwise(0))))
         parts.append(F.coalesce(F.bround(full * ratio, 1), F.lit(full)).alias(bucket))
     by_finding = found.agg(*parts)
-    logs = methods.select(F.explode("logs").alias("x")).agg(
+    logs = T.unfold(methods, [], "logs").agg(
         F.coalesce(F.bround(P.WEIGHTS["structured_logging"] * F.avg(F.col("x.structured").cast("int")), 1), F.lit(0.0)).alias("structured_logging"),
         F.when(F.coalesce(F.bool_or(F.rlike("x.message_pattern", F.lit(T.unicode(P.RUN_ID)))), F.lit(False)), float(P.WEIGHTS["run_correlation"]))
         .otherwise(0.0).alias("run_correlation"))

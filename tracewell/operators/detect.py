@@ -15,43 +15,33 @@ from tracewell.functions import text as T
 OP = "array<struct<line:int,is_io:boolean,operation_type:string,priority:string,snippet:string>>"
 
 
-def _hits(body: Column, table: tuple, keep=None) -> Column:
-    """(line, label, priority) of every match of every pattern in table."""
-    out = []
-    for label, pattern, priority in table:
-        pattern = T.unicode(pattern)
-        found = T.places(body, pattern)
-        if keep is not None:
-            found = F.filter(found, keep)
-        hit = F.transform(found, _labelled(label, priority))
-        # Most methods have no match for most patterns; a plain search is cheaper than a split.
-        out.append(F.when(F.rlike(body, F.lit(pattern)), hit).otherwise(F.array().cast("array<struct<line:int,label:string,priority:string>>")))
-    return F.concat(*out)
+_HIT = "array<struct<line:int,label:string,priority:string>>"
 
 
-def _labelled(label: str, priority: str):
-    return lambda m: F.struct(m["line"].alias("line"), F.lit(label).alias("label"), F.lit(priority).alias("priority"))
+def _hits(body: str, table: tuple, keep: str = "true") -> str:
+    """SQL: (line, label, priority) of every match m of every pattern in table for which keep holds."""
+    each = [
+        f"transform(filter({T.places_sql(body, T.unicode(pattern))}, m -> {keep}), m -> named_struct('line', m.line, 'label', '{label}', 'priority', '{priority}'))"
+        for label, pattern, priority in table
+    ]
+    return f"concat({', '.join(each)})"
 
 
 def with_operations(df: DataFrame) -> DataFrame:
     """df with ops: Spark operations and external IO, by line."""
-    body, masked = F.col("body"), F.col("masked_body")
-
-    def no_other_receiver(m: Column) -> Column:
-        lo = F.greatest(F.lit(0), m["at"] - 80)
-        return ~F.rlike(F.substring(masked, lo + 1, m["at"] - lo), F.lit(T.unicode(P.OTHER_RECEIVERS)))
-
-    in_sight = F.col("spark_import") | F.rlike(masked, F.lit(T.unicode(P.SPARK_TYPES)))
-    df = df.withColumn("_hits", F.concat(
-        _hits(masked, P.STRONG),
-        F.when(in_sight, _hits(masked, P.AMBIGUOUS, no_other_receiver)).otherwise(F.array().cast("array<struct<line:int,label:string,priority:string>>")),
-        _hits(body, P.FORMATS)))
-    io = []
-    for k, (kind, pattern) in enumerate(P.EXTERNAL_IO):
-        pattern = T.unicode(pattern)
-        found = F.transform(T.places(masked, pattern), _io_hit(k, kind))
-        io.append(F.when(F.rlike(masked, F.lit(pattern)), found).otherwise(F.array().cast("array<struct<line:int,k:int,kind:string>>")))
-    df = df.withColumn("_io", F.array_sort(F.concat(*io)))
+    body = F.col("body")
+    # No text that speaks against Spark in the 80 characters before the call.
+    before = "substr(masked_body, greatest(0, m.at - 80) + 1, m.at - greatest(0, m.at - 80))"
+    ambiguous = _hits("masked_body", P.AMBIGUOUS, f"NOT {before} RLIKE {T.raw(T.unicode(P.OTHER_RECEIVERS))}")
+    in_sight = f"spark_import OR masked_body RLIKE {T.raw(T.unicode(P.SPARK_TYPES))}"
+    io = [
+        f"transform({T.places_sql('masked_body', T.unicode(pattern))}, m -> named_struct('line', m.line, 'k', {k}, 'kind', '{kind}'))"
+        for k, (kind, pattern) in enumerate(P.EXTERNAL_IO)
+    ]
+    df = df.withColumns({
+        "_hits": F.expr(f"concat({_hits('masked_body', P.STRONG)}, CASE WHEN {in_sight} THEN {ambiguous} ELSE CAST(array() AS {_HIT}) END, {_hits('body', P.FORMATS)})"),
+        "_io": F.expr(f"array_sort(concat({', '.join(io)}))"),
+    })
 
     def special(x: Column) -> Column:
         out = F.lit(False)
@@ -73,10 +63,6 @@ def _same(x: Column, label: str):
     return lambda y: (y["label"] == label) & (y["line"] == x["line"])
 
 
-def _io_hit(k: int, kind: str):
-    return lambda m: F.struct(m["line"].alias("line"), F.lit(k).alias("k"), F.lit(kind).alias("kind"))
-
-
 def with_logs(df: DataFrame) -> DataFrame:
     """df with logs: (line, log_ord, level, logger_type, message_pattern, structured, sensitive)."""
     body, masked = F.col("body"), F.col("masked_body")
@@ -109,7 +95,7 @@ def with_logs(df: DataFrame) -> DataFrame:
             F.lit("unknown").alias("logger_type"), F.left(short, F.lit(200)).alias("message_pattern"),
             structured.alias("structured"), T.is_sensitive_log(x["message"], x["rest"]).alias("sensitive"))
 
-    calls = F.transform(F.transform(T.places(masked, call), read), message)
+    calls = F.transform(F.transform(T.places("masked_body", call), read), message)
     kind = "array<struct<line:int,log_ord:int,level:string,logger_type:string,message_pattern:string,structured:boolean,sensitive:boolean>>"
     return df.withColumn("logs", F.when(F.rlike(masked, F.lit(call)), F.transform(calls, judged)).otherwise(F.array().cast(kind)))
 
@@ -134,7 +120,7 @@ def with_exceptions(df: DataFrame) -> DataFrame:
 
     def guarded(pattern: str, made) -> Column:
         pattern = T.unicode(pattern)
-        return F.when(F.rlike(masked, F.lit(pattern)), F.transform(T.places(masked, pattern), made)).otherwise(F.array().cast(kind)).cast(kind)
+        return F.when(F.rlike(masked, F.lit(pattern)), F.transform(T.places("masked_body", pattern), made)).otherwise(F.array().cast(kind)).cast(kind)
 
     # By line; on one line catch blocks come before throws.
     found = F.concat(guarded(P.CATCH, caught), guarded(P.THROW, thrown))

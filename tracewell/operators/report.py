@@ -17,13 +17,15 @@ from pyspark.sql import Window as W
 
 from tracewell import __version__
 from tracewell import patterns as P
+from tracewell.functions import text as T
 from tracewell.operators import contract as C
 
 SCHEMA_VERSION = "1"
 
 
 def _exploded(methods: DataFrame, column: str) -> DataFrame:
-    return methods.select("path", "method_ord", "name", "class_name", F.explode(column).alias("x")).select("path", "method_ord", "name", "class_name", "x.*")
+    keys = ["path", "method_ord", "name", "class_name"]
+    return T.unfold(methods, keys, column).select(*keys, "x.*")
 
 
 def counters(files: DataFrame, methods: DataFrame) -> DataFrame:

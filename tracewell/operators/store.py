@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from tracewell.functions import text as X
 from tracewell.operators import contract as C
 
 DECIDED = ("ACCEPTED", "REJECTED", "FALSE_POSITIVE")
@@ -258,7 +259,7 @@ class Store:
         methods = durable(analysis.methods.drop("body", "masked_body"))
         self.append("methods", mine(methods))
         for table, column in (("spark_operations", "ops"), ("existing_logs", "logs"), ("exception_boundaries", "exceptions")):
-            self.append(table, mine(methods.select("path", "method_ord", F.explode(column).alias("x")).select("path", "method_ord", "x.*")))
+            self.append(table, mine(X.unfold(methods, ["path", "method_ord"], column).select("path", "method_ord", "x.*")))
         found = C.numbered(C.findings(methods, analysis.contract)).withColumn("project_id", F.lit(project_id))
         if advice is not None:
             found = found.drop("llm_status").join(advice.statuses, "finding_no", "left").withColumn("llm_status", F.coalesce("llm_status", F.lit("NOT_RUN")))

@@ -16,39 +16,49 @@ from pyspark.sql import functions as F
 from tracewell import patterns as P
 from tracewell.functions import text as T
 
-_NAME = r"(?U)([A-Za-z_$][\w$]*)\s*\z"
-_THROWS = r"(?U)\A\s*(?:throws\s+([\w.,\s]+?))?\s*\z"
+_NAME = r"(?U)[A-Za-z_$][\w$]*\s*\z"
+_THROWS = r"(?U)\A\)\s*(?:throws\s+([\w.,\s]+?))?\s*\z"
 _BEFORE = r"(?U)[A-Za-z_$][\w$<>\[\].,?\s]*\z"
+_RETURN = r"(?U)([\w$][\w$<>\[\],.?\s]*?)\s*\z"
 _TYPE = r"(?U)\b(class|interface|enum|record)\s+([A-Za-z_$][\w$]*)"
-
-
-def _part(p: Column) -> Column:
-    """What one part of the split tells: its opening character, and what may come of its text."""
-    ch = F.when(F.rlike(p, F.lit(r"\A[{}();]")), F.left(p, F.lit(1))).otherwise("")
-    rest = F.substring(p, F.char_length(ch) + 1, F.char_length(p))
-    name = T.extract(rest, F.lit(_NAME), F.lit(1))
-    tail = T.extract(rest, F.lit(_NAME), F.lit(0))
-    head = F.left(rest, F.char_length(rest) - F.char_length(tail))
-    before = T.strip(F.right(head, F.lit(120)))
-    flat = T.strip(F.regexp_replace(before, F.lit(r"(?U)\s+"), F.lit(" ")))
-    candidate = (
-        (name != "") & ~name.isin(*P.KEYWORDS, *P.MODIFIERS) & F.rlike(before, F.lit(_BEFORE))
-        & ~F.endswith(before, F.lit(".")) & ~F.endswith(before, F.lit("=")) & ~F.endswith(before, F.lit("return"))
-    )
-    returned = F.array_join(F.filter(F.split(T.extract(flat, F.lit(r"(?U)([\w$][\w$<>\[\],.?\s]*?)\s*\z"), F.lit(1)), " "),
-                                     lambda w: ~w.isin(*P.MODIFIERS) & (w != "")), " ")
-    types = F.transform(T.places(rest, _TYPE), lambda m: F.struct(
-        (m["at"] + F.char_length(ch)).alias("at"),
-        T.extract(m["part"], F.lit(_TYPE), F.lit(1)).alias("kind"), T.extract(m["part"], F.lit(_TYPE), F.lit(2)).alias("name")))
-    at_name = F.char_length(ch) + F.char_length(head)
-    return F.struct(
-        ch.alias("ch"), F.char_length(p).alias("len"), T.newlines(p).alias("lines"),
-        candidate.alias("cand"), name.alias("name"), at_name.alias("name_at"), T.newlines(F.left(p, at_name)).alias("name_line"),
-        F.when(returned == "", "void").otherwise(returned).alias("ret"),
-        (F.rlike(rest, F.lit(_THROWS)) & (F.char_length(rest) < 400)).alias("opens"),
-        (T.strip(T.extract(rest, F.lit(_THROWS), F.lit(1))) != "").alias("throws"),
-        F.when(F.rlike(rest, F.lit(_TYPE)), types).otherwise(F.array().cast("array<struct<at:int,kind:string,name:string>>")).alias("types"),
-    )
+_TYPE_LIST = "array<struct<at:int,kind:string,name:string>>"
+
+
+def _words(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _strip(c: str) -> str:
+    return rf"regexp_replace({c}, {T.raw(rf'\A{T.SPACE}+|{T.SPACE}+\z')}, '')"
+
+
+# What the parts of the split tell, in steps so that each text is searched once.
+#: Each part with its opening character.
+_STEP_1 = f"""transform(split(masked, {T.raw(r'(?=[{}();])')}, -1), p -> named_struct('p', p,
+  'ch', CASE WHEN left(p, 1) IN ('{{', '}}', '(', ')', ';') THEN left(p, 1) ELSE '' END))"""
+#: The name that ends a part, where a parenthesis follows.
+_STEP_2 = f"""transform(_p1, (x, i) -> named_struct('p', x.p, 'ch', x.ch,
+  'tail', CASE WHEN get(_p1, i + 1).ch = '(' THEN regexp_extract(x.p, {T.raw(_NAME)}, 0) ELSE '' END))"""
+#: What stands before the name.
+_STEP_3 = f"""transform(_p2, x -> named_struct('p', x.p, 'ch', x.ch, 'name_at', char_length(x.p) - char_length(x.tail),
+  'name', CASE WHEN x.tail <> '' THEN {_strip('x.tail')} ELSE '' END,
+  'before', CASE WHEN x.tail <> '' THEN
+     {_strip("right(substr(left(x.p, char_length(x.p) - char_length(x.tail)), char_length(x.ch) + 1), 120)")} ELSE '' END))"""
+#: Whether the name may be a method's.
+_STEP_4 = f"""transform(_p3, x -> named_struct('p', x.p, 'ch', x.ch, 'name_at', x.name_at, 'name', x.name, 'before', x.before,
+  'cand', x.before <> '' AND x.name NOT IN ({_words((*P.KEYWORDS, *P.MODIFIERS))}) AND x.before RLIKE {T.raw(_BEFORE)}
+          AND NOT endswith(x.before, '.') AND NOT endswith(x.before, '=') AND NOT endswith(x.before, 'return')))"""
+_RETURNED = f"""array_join(filter(split(regexp_extract(regexp_replace(x.before, {T.raw(r'(?U)\s+')}, ' '), {T.raw(_RETURN)}, 1), ' '),
+    w -> w <> '' AND w NOT IN ({_words(P.MODIFIERS)})), ' ')"""
+_PARTS = f"""transform(_p4, x -> named_struct(
+  'ch', x.ch, 'len', char_length(x.p), 'lines', char_length(x.p) - char_length(replace(x.p, chr(10), '')),
+  'cand', x.cand, 'name', x.name, 'name_at', x.name_at,
+  'name_line', CASE WHEN x.cand THEN char_length(left(x.p, x.name_at)) - char_length(replace(left(x.p, x.name_at), chr(10), '')) ELSE 0 END,
+  'ret', CASE WHEN x.cand THEN coalesce(nullif({_RETURNED}, ''), 'void') ELSE '' END,
+  'opens', x.ch = ')' AND char_length(x.p) <= 400 AND x.p RLIKE {T.raw(_THROWS)},
+  'throws', CASE WHEN x.ch = ')' THEN {_strip(f"regexp_extract(x.p, {T.raw(_THROWS)}, 1)")} <> '' ELSE false END,
+  'types', transform({T.places_sql('x.p', _TYPE)}, m -> named_struct('at', m.at,
+      'kind', regexp_extract(m.part, {T.raw(_TYPE)}, 1), 'name', regexp_extract(m.part, {T.raw(_TYPE)}, 2)))))"""
 
 
 _HINT = "struct<cand:boolean,name:string,at:int,line:int,ret:string,from:int,to:int,throws:boolean>"
@@ -117,10 +127,12 @@ def files(sources: DataFrame) -> DataFrame:
         "is_test": F.contains("path", F.lit("/src/test/")) | F.endswith(low, F.lit("test.java")) | F.endswith(low, F.lit("tests.java")),
         "package": F.nullif(T.extract("masked", F.lit(r"(?mU)^\s*package\s+([\w.]+)\s*;"), F.lit(1)), F.lit("")),
         "imports": F.regexp_extract_all("masked", F.lit(r"(?mU)^\s*import\s+(?:static\s+)?([\w.*]+)\s*;"), F.lit(1)),
-        "_parts": F.transform(F.split("masked", r"(?=[{}();])", -1), _part),
+        "_p1": F.expr(_STEP_1),
     })
+    for name, step in (("_p2", _STEP_2), ("_p3", _STEP_3), ("_p4", _STEP_4), ("_parts", _PARTS)):
+        df = df.withColumn(name, F.expr(step))
     fold = _FOLD.replace("{method}", _method_sql("s.at")).replace("{rest}", _method_sql("s.at - 1"))
-    df = df.withColumn("_found", F.expr(fold)).drop("_parts")
+    df = df.withColumn("_found", F.expr(fold)).drop("_p1", "_p2", "_p3", "_p4", "_parts")
     named = lambda *kinds: F.transform(F.filter("_found.types", lambda t: t["kind"].isin(*kinds)), lambda t: t["name"])
     return df.withColumns({
         "classes": named("class", "enum", "record"), "interfaces": named("interface"),
@@ -141,7 +153,7 @@ def methods(parsed: DataFrame) -> DataFrame:
     rows = parsed.select(
         *keep, "content", "masked", "types",
         F.exists("imports", lambda i: F.contains(i, F.lit("org.apache.spark"))).alias("spark_import"),
-        F.posexplode("_methods").alias("method_ord", "m"))
+        F.posexplode_outer("_methods").alias("method_ord", "m")).where(F.col("m").isNotNull())
     inside = F.filter("types", lambda t: (t["at"] <= F.col("m.at")) & (F.col("m.at") <= t["close"]))
     best = F.array_sort(F.transform(inside, lambda t: F.struct((t["close"] - t["at"]).alias("size"), t["at"].alias("at"), t["name"].alias("name"))))
     rows = rows.withColumn("class_name", F.coalesce(F.get(best, F.lit(0))["name"], F.lit("<anonymous>")))

@@ -116,7 +116,7 @@ def brace_pairs(spark, sf_dir):
     def with_close(m):
         return F.struct(m["at"].alias("at"), (m["at"] + T.closing(F.substring("html", m["at"] + 1, F.char_length("html")), "{}")).alias("close"))
 
-    return _read(spark, sf_dir, "pages").select("page_id", "html", F.explode(T.places(F.col("html"), r"\{")).alias("m")).select(
+    return _read(spark, sf_dir, "pages").select("page_id", "html", F.explode(T.places("html", r"\{")).alias("m")).select(
         "page_id", with_close(F.col("m")).alias("p")).select("page_id", F.col("p.at").cast("long").alias("open_at"), F.col("p.close").cast("long").alias("close_at"))
 
 
@@ -137,7 +137,7 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_
 SELECT doc_id, n::BIGINT AS line, len(regexp_extract_all(line, 'token\s*='))::BIGINT AS hits FROM l WHERE regexp_matches(line, 'token\s*=')""")
 def match_lines(spark, sf_dir):
     """Lines of the matches of a pattern, by the rule that all detectors share."""
-    found = _read(spark, sf_dir, "documents").select("doc_id", F.explode(T.places(F.col("text"), r"token[ \t]*=")).alias("m"))
+    found = _read(spark, sf_dir, "documents").select("doc_id", F.explode(T.places("text", r"token[ \t]*=")).alias("m"))
     return found.groupBy("doc_id", (F.col("m.line") + 1).cast("long").alias("line")).agg(F.count("*").alias("hits"))
 
 
@@ -386,7 +386,9 @@ def flow_closure(spark, sf_dir):
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> Analysis:
-    return analyse(rendered_corpus(_read(spark, sf_dir, "part")))
+    """The analysis of the classes rendered from part; the small rows are dealt out before they become text."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return analyse(rendered_corpus(_read(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(n, "p_partkey")))
 
 
 #: Per class: d the distance, the lines of its places, and what its attributes imply.
@@ -422,7 +424,7 @@ WITH {_SQL_CORPUS}
 SELECT path, category AS operation_type, line, priority, category = 'SPARK_ACTION' AS is_action, category <> 'SPARK_ACTION' AS lazy, execution_line AS materialized_at
 FROM f WHERE category <> 'EXCEPTION'""")
 def corpus_ops(spark, sf_dir):
-    return _corpus(spark, sf_dir).methods.select("path", F.explode("ops").alias("o")).select(
+    return T.unfold(_corpus(spark, sf_dir).methods, ["path"], "ops", "o").select(
         "path", "o.operation_type", "o.line", "o.priority", "o.is_action", "o.lazy", "o.materialized_at")
 
 
@@ -432,13 +434,13 @@ SELECT path, 7 AS line, 'INFO' AS level, CASE style WHEN 1 THEN '"processing"' E
        style = 2 AS structured, false AS sensitive FROM p WHERE style > 0
 UNION ALL SELECT path, 13 + d, 'ERROR', '"failed run_id={{}}"', true, false FROM p WHERE caught""")
 def corpus_logs(spark, sf_dir):
-    return _corpus(spark, sf_dir).methods.select("path", F.explode("logs").alias("l")).select(
+    return T.unfold(_corpus(spark, sf_dir).methods, ["path"], "logs", "l").select(
         "path", "l.line", "l.level", "l.message_pattern", "l.structured", "l.sensitive")
 
 
 @query("corpus_exceptions", f"WITH {_SQL_CORPUS} SELECT path, 'TRY_CATCH' AS kind, 12 + d AS start_line, 14 + d AS end_line, caught AS has_error_logging FROM p")
 def corpus_exceptions(spark, sf_dir):
-    return _corpus(spark, sf_dir).methods.select("path", F.explode("exceptions").alias("e")).select(
+    return T.unfold(_corpus(spark, sf_dir).methods, ["path"], "exceptions", "e").select(
         "path", "e.kind", "e.start_line", "e.end_line", "e.has_error_logging")
 
 
