@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from .common import batch_of, held_out, map_batches, row_type, whole_rows
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 8, 8
-LANGUAGES, SAMPLE, WINDOWS = 64, 500, 4
+LANGUAGES, SAMPLE, WINDOWS, SALTS = 64, 500, 4, 64
 _AT_ONCE = 128
 
 
@@ -136,9 +136,13 @@ def train(docs: DataFrame, mod: int = 4, part: int = 2, sample: int = SAMPLE) ->
     languages = sorted(r["lang"] for r in frequent.collect())
     if not languages:
         return None
-    nearest = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # First the smallest hashes of each of SALTS parts of a language, then of these: no task gets all rows of one.
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    salted = usable.where(F.col("lang").isin(languages)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    some = salted.withColumn("r", F.row_number().over(W.partitionBy("lang", "salt").orderBy(*order))).where(F.col("r") <= sample)
+    nearest = W.partitionBy("lang").orderBy(*order)
     ids = (
-        usable.where(F.col("lang").isin(languages)).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= sample)
+        some.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= sample)
         .groupBy("doc_id").agg(F.min("lang").alias("lang"))
     )
     # At most LANGUAGES * SAMPLE ids.
