@@ -274,11 +274,14 @@ def advise(findings: DataFrame, methods: DataFrame, sources: DataFrame, project:
 
     spark = findings.sparkSession
     chosen = select(findings, min_priority, limit)
-    held = methods.select("path", "method_ord", "name", "start_line", "end_line", "parameters", "return_type", "ops", "logs")
-    inside = (chosen.path == held.path) & (chosen.method == held.name) & chosen.line.between(held.start_line, held.end_line)
+    parts = ("start_line", "end_line", "parameters", "return_type", "ops", "logs")
+    # New names for all columns, as the findings come from the same methods.
+    held = methods.select(F.col("path").alias("h_path"), F.col("name").alias("h_name"), F.col("method_ord").alias("h_ord"), *[F.col(c).alias(f"h_{c}") for c in parts])
+    places = chosen.select(F.col("finding_no").alias("c_no"), F.col("path").alias("c_path"), F.col("method").alias("c_method"), F.col("line").alias("c_line"))
+    inside = (F.col("c_path") == F.col("h_path")) & (F.col("c_method") == F.col("h_name")) & F.col("c_line").between(F.col("h_start_line"), F.col("h_end_line"))
     # The first method of that name which holds the line.
-    best = chosen.join(held, inside, "left").groupBy(*[chosen[c] for c in ("finding_no", "path")]).agg(
-        F.min_by(F.struct(held.start_line, held.end_line, held.parameters, held.return_type, held.ops, held.logs), held.method_ord).alias("m"))
+    best = places.join(held, inside).groupBy(F.col("c_no").alias("finding_no")).agg(
+        F.min_by(F.struct(*[F.col(f"h_{c}").alias(c) for c in parts]), "h_ord").alias("m"))
     src = sources.select("path", F.col("content").alias("source"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("file_hash"))
     ctx = chosen.drop("logs").join(best.select("finding_no", "m.*"), "finding_no", "left").join(src, "path", "left")
     code = F.array_join(F.slice(F.split("source", r"(?<=\n)", -1), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "")
