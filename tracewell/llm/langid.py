@@ -13,7 +13,8 @@ Training reads, for each of up to LANGUAGES values of lang (the most frequent),
 up to SAMPLE documents (smallest hash of doc_id) outside the held-out fold, and
 WINDOWS windows spread over each. Rows with a null lang, text or doc_id are not
 learned from. Text that is null or has no letter is `und` with score 0, and so is
-everything if nothing could be learned. Repeated rows are judged alike.
+everything if nothing could be learned. Repeated rows are judged alike, an empty
+table gives an empty result, and no column but the id, the text and lang is read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Window as W
 from .common import batch_of, held_out, map_batches, row_type, whole_rows
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 8, 8
-LANGUAGES, SAMPLE, WINDOWS, SALTS = 64, 500, 4, 64
+LANGUAGES, SAMPLE, WINDOWS, MARGIN = 64, 500, 4, 4
 _AT_ONCE = 128
 
 
@@ -133,16 +134,19 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps: in
 def train(docs: DataFrame, mod: int = 4, part: int = 2, sample: int = SAMPLE) -> ByteNetwork | None:
     usable = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", mod, part))
     frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    languages = sorted(r["lang"] for r in frequent.collect())
+    counts = {r["lang"]: r["count"] for r in frequent.collect()}
+    languages = sorted(counts)
     if not languages:
         return None
-    # First the smallest hashes of each of SALTS parts of a language, then of these: no task gets all rows of one.
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    salted = usable.where(F.col("lang").isin(languages)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    some = salted.withColumn("r", F.row_number().over(W.partitionBy("lang", "salt").orderBy(*order))).where(F.col("r") <= sample)
-    nearest = W.partitionBy("lang").orderBy(*order)
+    # The smallest hashes of a language all lie below this bound (about MARGIN times the sample do),
+    # so few rows of each language are left to be ordered.
+    below = F.create_map(*[
+        F.lit(x) for k, n in counts.items() for x in (k, min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * MARGIN * sample / n)))
+    ])
+    few = usable.where(F.xxhash64("doc_id") <= F.element_at(below, F.col("lang")))
+    nearest = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (
-        some.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= sample)
+        few.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= sample)
         .groupBy("doc_id").agg(F.min("lang").alias("lang"))
     )
     # At most LANGUAGES * SAMPLE ids.
