@@ -20,6 +20,8 @@ is associative; parts may be encoded anywhere and joined in any bracketing.
 Decoding concatenates the tokens' bytes up the same kind of tree.
 
 A null text counts as empty and has no tokens. Special tokens are never made.
+Repeated rows, and rows without an id, are encoded alike; an empty table gives an
+empty result, and columns besides the id and the text are not read.
 """
 
 from __future__ import annotations

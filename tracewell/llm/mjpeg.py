@@ -17,7 +17,9 @@ over FLOOR and over mean + SPREAD deviations of the differences since the last
 cut (the first difference after a cut has only FLOOR to pass).
 
 A null payload counts as empty; an empty one is stored as 64 zero bytes. Equal
-payloads give equal files and clips. Damaged files raise ValueError.
+payloads give equal files and clips, so repeated rows give equal rows; an empty
+table gives an empty result, and columns besides the id and the text are not read.
+Damaged files raise ValueError.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ The corpus is aggregated to the counts of feature patterns, of which there are a
 most 4 kinds * 2 * 27 votes * 8 lengths * 4 characters = 6,912, whatever its size.
 
 Offsets count code points, ends are exclusive. A null or empty text has no spans.
-Repeated rows are treated alike; rows may lack an id.
+Repeated rows are treated alike; rows may lack an id. An empty table gives an
+empty result, and columns besides the text and the id are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable, whole_rows
+
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT, KEEP, ROUNDS = 40, 0.5, 25
 
@@ -197,8 +200,6 @@ def classifier(df: DataFrame, text_col: str = "text") -> DataFrame:
     spans = candidates(df.select(text_col), text_col).select(F.explode(F.concat("_base", "_more")).alias("x")).select("x.*")
     patterns = spans.groupBy("kind", "base", *_FEATURES).agg(F.count("*").alias("n"))
     # Read twice below; the table is small (see above), reading the corpus is not.
-    from .common import durable
-
     patterns = durable(patterns)
     soft = patterns.join(F.broadcast(vote_probabilities(patterns)), ["kind", "base", "v1", "v2", "v3"])
     classes = soft.groupBy("kind").agg(F.sum(F.col("n") * F.col("w")).alias("t"), F.sum(F.col("n") * (1 - F.col("w"))).alias("f"))
@@ -257,10 +258,13 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def masked(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with every span of its text replaced by its kind in brackets, as in [EMAIL]; a null text stays null."""
-    found = find_spans(df, text_col)
+    """df with every span of its text replaced by its kind in brackets, as in [EMAIL]; a null text stays null.
+
+    All other columns stay as they are, whatever their names.
+    """
+    found = find_spans(df.select(whole_rows(df), F.col(text_col).alias("_text")), "_text")
     ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    text, name = F.col(text_col), F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    text, name = F.col("_text"), F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def put(acc: Column, x: Column) -> Column:
         # Spans of different kinds may overlap; what is masked already is not masked again.
@@ -269,5 +273,6 @@ def masked(df: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(x["e"] <= acc["at"], acc).otherwise(F.struct(F.greatest(x["e"], acc["at"]).alias("at"), piece.alias("out")))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.aggregate(ordered, start, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, new).otherwise(text)).select(*df.columns)
+    new = F.aggregate(ordered, start, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    new = F.when(F.size("spans") > 0, new).otherwise(text)
+    return found.select(*[new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns])

@@ -10,7 +10,9 @@ and log determinants, plus the classes' log prior odds, through the logistic.
 Training reads up to SAMPLE labelled documents (those with the smallest hash of
 doc_id) outside the held-out fold; only their statistics reach the driver. A null
 text counts as empty and is scored like it. With no labelled rows, or rows of one
-class only, the score is that class's share (1 if nothing is known).
+class only, the score is that class's share (1 if nothing is known). Repeated rows
+get equal scores, an empty table gives an empty result, and no column but the id,
+the text and the labels is read.
 """
 
 from __future__ import annotations

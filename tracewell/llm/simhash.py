@@ -19,7 +19,8 @@ is one task's work.
 Only distinct fingerprints are joined, so exact copies cost nothing there.
 Components spread over the links by large-star and small-star rounds.
 Repeated rows each get their row; a row with a null doc_id has a fingerprint and,
-as component, the smallest doc_id of its group (null if there is none).
+as component, the smallest doc_id of its group (null if there is none). An empty
+table gives an empty result; columns besides the id and the text are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ the mention of a group; additive weights can't.
 
 Scores are probabilities of label 1, for every row of the table, over the whole
 text. A null or empty text has no terms and gets the bias alone. Without any
-labelled rows the score is 0 for all. Repeated rows get equal scores. The
+labelled rows the score is 0 (within rounding) for all. Repeated rows get equal
+scores, ties in choosing terms go to the smaller bucket, an empty table gives an
+empty result, and no column but the id, the text and the labels is read. The
 collected sample is bounded by SAMPLE documents with their distinct terms.
 """
 
