@@ -147,15 +147,26 @@ SELECT doc_id, sha256(sha256(text) || sha256(text || source) || 'join@1' || 'p1'
 FROM documents WHERE regexp_full_match(text, '[ -~\\n]*')""".replace("\\\\", "\\"))
 def cache_keys(spark, sf_dir):
     """Cache key, prompt hash and fingerprint over documents of printable ASCII characters (so that both engines agree on case)."""
+    return document_keys(_read(spark, sf_dir, "documents").where(F.rlike("text", F.lit(r"\A[ -~\n]*\z"))))
+
+
+def document_keys(docs: DataFrame) -> DataFrame:
+    """Cache key, prompt hash and fingerprint of every document, whatever its characters."""
     from tracewell.operators.advise import cache_key
 
-    docs = _read(spark, sf_dir, "documents").where(F.rlike("text", F.lit(r"\A[ -~\n]*\z")))
     return docs.select(
         "doc_id", cache_key(F.sha2("text", 256), F.concat("text", "source"), F.lit("join@1"), F.lit("p1"), F.lit("m")).alias("cache_key"),
         F.substring(F.sha2("text", 256), 1, 16).alias("prompt_hash"),
         F.substring(F.sha1(F.concat_ws("|", "source", "lang", "doc_id", F.lit("JOIN"), F.lit("join"), F.lower(F.regexp_replace("text", F.lit(r"\s+"), F.lit(""))))), 1, 16).alias("fingerprint"))
 
 
+@query("hash_cache_keys_all", """
+SELECT doc_id, sha256(sha256(text) || sha256(text || source) || 'join@1' || 'p1' || 'm') AS cache_key, substr(sha256(text), 1, 16) AS prompt_hash FROM documents""")
+def cache_keys_all(spark, sf_dir):
+    """Cache key and prompt hash of every document; a test holds the fingerprints, which depend on case, against brute force."""
+    return document_keys(_read(spark, sf_dir, "documents")).drop("fingerprint")
+
+
 # --- store queries: orders as scans or findings, customers as projects --------
 
 
