@@ -205,7 +205,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """docs with one row of each near-duplicate group: the one whose doc_id is the smallest.
 
     Rows without a doc_id stay only where no row of their group has one, one for
-    each fingerprint.
+    each fingerprint. A doc_id must not stand for different texts; jaccard.keep_first,
+    which the pipeline uses, allows that.
     """
     found = durable(near_duplicates(docs))
     first = found.where("doc_id = component_id").select("doc_id").distinct()
