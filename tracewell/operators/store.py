@@ -18,8 +18,6 @@ from tracewell.operators import contract as C
 
 DECIDED = ("ACCEPTED", "REJECTED", "FALSE_POSITIVE")
 STATUSES = ("OPEN", "REVIEWED", "ACCEPTED", "REJECTED", "IMPLEMENTED", "FALSE_POSITIVE")
-#: Largest recursion of least_reached().
-_ROUNDS = 1000
 
 # --- queries -------------------------------------------------------------------
 
@@ -130,11 +128,11 @@ def resolve_method(found: DataFrame, spans: DataFrame, key: str, equal: list[str
 def least_reached(edges: DataFrame, actions: DataFrame) -> DataFrame:
     """(line, action_line): for every line that an action reaches over edges a -> b, the least such action.
 
-    Each round passes improved lines on only, so cycles end and paths are never listed.
+    Each round passes improved lines on only, so cycles end and paths are never listed; the rounds end when none improves.
     """
     best = actions.select(F.col("action").alias("line"), F.col("action").alias("action_line"))
     new = best
-    for _ in range(_ROUNDS):
+    while True:
         step = new.join(edges, new.line == edges.a).select(F.col("b").alias("line"), "action_line")
         after = best.union(step).groupBy("line").agg(F.min("action_line").alias("action_line"))
         after = durable(after)
