@@ -68,11 +68,12 @@ def _spans(text: Column, kind: str, base: bool, pattern: str, guard: Column) ->
     def put(acc: Column, z: Column) -> Column:
         start = acc["at"] + F.char_length(z["gap"])
         end = start + F.coalesce(F.char_length(z["m"]), F.lit(0))
+        before = F.right(F.concat(acc["tail"], z["gap"]), F.lit(CONTEXT))
         one = F.struct(F.lit(KINDS.index(kind)).alias("kind"), F.lit(base).alias("base"), start.alias("s"), end.alias("e"),
-                       z["m"].alias("m"), F.right(z["gap"], F.lit(CONTEXT)).alias("before"))
-        return F.struct(end.alias("at"), F.when(z["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
+                       z["m"].alias("m"), before.alias("before"))
+        return F.struct(end.alias("at"), F.right(F.concat(before, F.coalesce(z["m"], F.lit(""))), F.lit(CONTEXT)).alias("tail"), F.when(z["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(empty).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(empty).alias("out"))
     return F.when(guard, F.aggregate(pairs, start, put, lambda acc: acc["out"])).otherwise(F.array().cast(empty))
 
 
