@@ -14,19 +14,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a temporary folder if the session is local, else an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tracewell-")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of df in the cluster's shared checkpoint folder.
 
-    The folder is spark.checkpoint.dir; only where that is unset (tests on one
-    machine) a temporary folder is used.
+    The folder is spark.checkpoint.dir; see shared_folder().
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewell-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def marks(df: DataFrame) -> list[Column]:
+    """Two hashes of a whole row, `mark` and `mark2`; nulls are told apart by their place."""
+    parts = [x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return [F.xxhash64(*parts).alias("mark"), F.hash(*parts).alias("mark2")]
+
+
+def keep_marked(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of docs whose marks are in first (mark, mark2), one for each pair of marks.
+
+    The texts move once: rows that agree in both marks meet in the join's own partitions.
+    """
+    names = {"mark": "_mark", "mark2": "_mark2"}
+    own = docs.select("*", *(m.alias(names[k]) for k, m in zip(names, marks(docs))))
+    want = first.select(*[F.col(k).alias(v) for k, v in names.items()])
+    return own.join(want, list(names.values()), "left_semi").dropDuplicates(list(names.values())).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def fold(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; null ids have no fold."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(mod))
@@ -52,6 +77,14 @@ def labelled_ids(labels: DataFrame, label: str, mod: int, part: int, limit: int)
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, mod: int, part: int, limit: int) -> DataFrame:
+    """(doc_id, text, label): one text for each of labelled_ids(), its smallest where a doc_id stands for several."""
+    ids = labelled_ids(labels, label, mod, part, limit)
+    # At most limit ids; repeats of an id are folded on both sides of the exchange.
+    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return some.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("text").alias("text"), F.max("label").alias("label"))
+
+
 def map_batches(
     df: DataFrame, columns: list, process: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:

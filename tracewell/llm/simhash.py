@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, durable, map_batches, row_type, whole_rows
+from .common import batch_of, durable, keep_marked, map_batches, marks
 
 SEED, BITS, SEGMENT = 42, 64, 2
 RADIUS, BLOCKS = 3, 6
@@ -42,6 +42,23 @@ PART = 1000
 _CHUNK = 1 << 16
 
 
+def _ones_of(h: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each bit is set."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
+
+
+def fold_bits(h: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes (unsigned, repeats included) as a signed number; zero of none."""
+    ones = np.zeros(BITS, np.int64)
+    for start in range(0, len(h), _CHUNK):
+        ones += _ones_of(h[start : start + _CHUNK])
+    return _majority(ones, len(h))
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The 64-bit fingerprint as a signed number."""
     words = (text or "").encode().lower().split()
@@ -50,9 +67,8 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     ones, n = np.zeros(BITS, np.int64), max(1, len(words) - shingle + 1)
     for start in range(0, n, _CHUNK):
         stop = min(n, start + _CHUNK)
-        h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(start, stop)), "<u8", stop - start)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
+        ones += _ones_of(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(start, stop)), "<u8", stop - start))
+    return _majority(ones, n)
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
@@ -188,37 +204,39 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
 
 
+def _by_root(points: DataFrame) -> DataFrame:
+    """points (fp and further columns) with root, the smallest fingerprint of each one's component."""
+    roots = components(links(points))
+    return points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per row of df."""
     docs = durable(fingerprints(df, id_col, text_col, shingle))
-    points = durable(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    roots = components(links(points))
+    labelled = _by_root(durable(docs.groupBy("fp").agg(F.min("doc_id").alias("first"))))
     # The smallest doc_id over the fingerprints of a component; fingerprints without links stand alone.
-    labelled = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     named = labelled.join(least, "root").select("fp", "component_id")
     # The side of the documents may hold one fingerprint many times; adaptive execution splits such partitions of a sort-merge join.
     return docs.join(named.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one row of each near-duplicate group: the one whose doc_id is the smallest.
+def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """docs with one row of each group of linked fingerprints: the one whose doc_id is the smallest, a row without one last.
 
-    Rows without a doc_id stay only where no row of their group has one, one for
-    each fingerprint. A doc_id must not stand for different texts; jaccard.keep_first,
-    which the pipeline uses, allows that.
+    Rows, not ids, are chosen, so a doc_id that stands for different texts loses no
+    group: among rows of one doc_id the smallest fingerprint stays, then the smallest
+    hash of the row. (The pipeline's stage is jaccard.keep_first.)
     """
-    found = durable(near_duplicates(docs))
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    alone = found.where("component_id is null").select("fingerprint").distinct()
-    types = {"row": None, "fingerprint": pa.string()}
+    types = {"doc_id": pa.int64(), "mark": pa.int64(), "mark2": pa.int32(), "fp": pa.int64()}
 
     def process(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        marks = [f"{fingerprint(t) & (1 << 64) - 1:016x}" for t in batch.column(0).field("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.string())], names=list(types))
-
-    marked = map_batches(nameless, [whole_rows(docs)], process, f"row {row_type(docs)}, fingerprint string")
-    kept = marked.join(alone, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select("row.*")
-    return named.select(*docs.columns).unionByName(kept)
+        fps = [fingerprint(t, shingle) for t in batch.column(3).to_pylist()]
+        yield batch_of({**{k: batch.column(i) for i, k in enumerate(("doc_id", "mark", "mark2"))}, "fp": fps}, types)
+
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), *marks(docs), "text"]
+    rows = durable(map_batches(docs, columns, process, "doc_id long, mark long, mark2 int, fp long"))
+    # One row for each fingerprint, the first by the same order.
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "mark", "mark2")
+    best = _by_root(durable(rows.groupBy("fp").agg(F.min(order).alias("x"))))
+    return keep_marked(docs, best.groupBy("root").agg(F.min("x").alias("x")).select("x.mark", "x.mark2"))
