@@ -9,12 +9,15 @@ over its windows, weighted by their bytes.
 Once trained, a filter's response is a sum of table entries of byte pairs and
 single bytes, so the tables replace the multiplications; results are the same.
 
-Training reads, for each of up to LANGUAGES values of lang (the most frequent),
-up to SAMPLE documents (smallest hash of doc_id) outside the held-out fold, and
-WINDOWS windows spread over each. Rows with a null lang, text or doc_id are not
-learned from. Text that is null or has no letter is `und` with score 0, and so is
-everything if nothing could be learned. Repeated rows are judged alike, an empty
-table gives an empty result, and no column but the id, the text and lang is read.
+Training reads, for every value of lang outside the held-out fold, up to SAMPLE
+documents (smallest hash of doc_id; fewer where TOTAL documents over all languages
+would be passed, but one at least) and WINDOWS windows spread over each. No language
+is left out. Rows with a null lang, text or doc_id are not learned from; a doc_id that
+repeats counts once, with its smallest lang and text. Text that is null or has no
+letter is `und` with score 0, and so is everything if nothing could be learned. Very
+long texts are read whole, window by window; ties of probability go to the language
+that sorts first; repeated rows are judged alike, an empty table gives an empty
+result, and no column but the id, the text and lang is read.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from pyspark.sql import Window as W
 from .common import batch_of, held_out, map_batches, row_type, whole_rows
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 8, 8
-LANGUAGES, SAMPLE, WINDOWS, MARGIN = 64, 500, 4, 4
+SAMPLE, TOTAL, WINDOWS, MARGIN = 500, 32_000, 4, 4
+#: How far from chance (0) to certainty (1) a score must lie for a text to count as in a known language.
+SURE = 0.1
 _AT_ONCE = 128
 
 
@@ -131,26 +136,27 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps: in
     return ByteNetwork(languages, params["embed"], [params[f"f{w}"] for w in WIDTHS], params["bias"], params["dense"], params["dense_bias"])
 
 
-def train(docs: DataFrame, mod: int = 4, part: int = 2, sample: int = SAMPLE) -> ByteNetwork | None:
+def train(docs: DataFrame, mod: int = 4, part: int = 2, sample: int = SAMPLE, total: int = TOTAL) -> ByteNetwork | None:
     usable = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", mod, part))
-    frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    counts = {r["lang"]: r["count"] for r in frequent.collect()}
-    languages = sorted(counts)
-    if not languages:
+    # One row for each value of lang; ids, not rows, are counted, so that repeats do not narrow the bound below.
+    counts = {r["lang"]: r["ids"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("ids")).collect()}
+    if not counts:
         return None
+    sample = max(1, min(sample, total // len(counts)))
     # The smallest hashes of a language all lie below this bound (about MARGIN times the sample do),
     # so few rows of each language are left to be ordered.
     below = F.create_map(*[
-        F.lit(x) for k, n in counts.items() for x in (k, min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * MARGIN * sample / n)))
+        F.lit(x) for k, n in counts.items() for x in (k, min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * MARGIN * sample / max(1, n))))
     ])
-    few = usable.where(F.xxhash64("doc_id") <= F.element_at(below, F.col("lang")))
+    few = usable.where(F.xxhash64("doc_id") <= F.element_at(below, F.col("lang"))).distinct()
     nearest = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (
         few.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= sample)
         .groupBy("doc_id").agg(F.min("lang").alias("lang"))
     )
-    # At most LANGUAGES * SAMPLE ids.
+    # At most total ids (or one a language), each with one text.
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("text").alias("text"))
     types = {"doc_id": pa.int64(), "lang": pa.string(), "window": pa.binary()}
 
     def process(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -200,6 +206,21 @@ def identify(docs: DataFrame, model: ByteNetwork | None, mod: int = 4, part: int
                        "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def in_known_language(docs: DataFrame, model: ByteNetwork | None, sure: float = SURE) -> DataFrame:
+    """The rows of docs that the network places in a learned language; a null lang becomes the predicted one.
+
+    Dropped are texts that are null or hold no letter, and texts whose best language
+    scores less than a share `sure` of the way from chance to certainty. Where nothing
+    could be learned (no row has a lang), every text with a letter stays as it is.
+    """
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    chance = 1 / len(model.languages)
+    judged = with_language(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= chance + sure * (1 - chance)))
+    return judged.select(*[
+        F.coalesce(F.col("row.lang"), F.col("lang_pred")).alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def with_language(docs: DataFrame, model: ByteNetwork | None) -> DataFrame:
     """(row, lang_pred, score): every row of docs as it is, with its language."""
 

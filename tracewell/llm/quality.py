@@ -10,8 +10,9 @@ and log determinants, plus the classes' log prior odds, through the logistic.
 Training reads up to SAMPLE labelled documents (those with the smallest hash of
 doc_id) outside the held-out fold; only their statistics reach the driver. A null
 text counts as empty and is scored like it. With no labelled rows, or rows of one
-class only, the score is that class's share (1 if nothing is known). Repeated rows
-get equal scores, an empty table gives an empty result, and no column but the id,
+class only, the score is that class's share (1 if nothing is known). A doc_id that
+repeats is learned from once, with its smallest text and largest label. Repeated rows
+get equal scores, very long texts are read whole, an empty table gives an empty result, and no column but the id,
 the text and the labels is read.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, held_out, labelled_ids, map_batches
+from .common import batch_of, held_out, labelled_texts, map_batches
 
 SAMPLE, SHRINKAGE, THRESHOLD = 20_000, 0.1, 0.7
 _CLASS = np.zeros(256, np.int64)
@@ -106,14 +107,13 @@ def fit(x: np.ndarray, y: np.ndarray, shrinkage: float = SHRINKAGE) -> Discrimin
 
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 4, part: int = 2, sample: int = SAMPLE) -> Discriminant:
-    ids = labelled_ids(labels, "quality", mod, part, sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    texts = labelled_texts(docs, labels, "quality", mod, part, sample)
     types = {"x": pa.list_(pa.float64()), "label": pa.int32(), "doc_id": pa.int64()}
 
     def process(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch_of({"x": [statistics(t) for t in batch.column(0).to_pylist()], "label": batch.column(1), "doc_id": batch.column(2)}, types)
 
-    got = map_batches(texts, ["text", "label", F.col("doc_id").cast("long").alias("doc_id")], process, "x array<double>, label int, doc_id long").toArrow()
+    got = map_batches(texts, ["text", "label", "doc_id"], process, "x array<double>, label int, doc_id long").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if got.num_rows else np.zeros((0, FEATURES))
     return fit(x[order], got.column("label").to_numpy()[order])

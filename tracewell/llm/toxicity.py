@@ -15,7 +15,9 @@ text. A null or empty text has no terms and gets the bias alone. Without any
 labelled rows the score is 0 (within rounding) for all. Repeated rows get equal
 scores, ties in choosing terms go to the smaller bucket, an empty table gives an
 empty result, and no column but the id, the text and the labels is read. The
-collected sample is bounded by SAMPLE documents with their distinct terms.
+collected sample is bounded by SAMPLE documents with their distinct terms; a
+doc_id that repeats counts once, with its smallest text and largest label. Very
+long texts are read whole.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, durable, held_out, labelled_ids, map_batches, row_type, whole_rows
+from .common import batch_of, durable, held_out, labelled_texts, map_batches, row_type, whole_rows
 
 BUCKETS, TERMS, FACTORS, SAMPLE = 1 << 22, 4096, 8, 8000
 _WORD = re.compile(r"\w+")
@@ -152,16 +154,14 @@ def fit(chosen: np.ndarray, docs: list[tuple[list[int], list[float]]], labels: l
 
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 5, part: int = 0, sample: int = SAMPLE, terms: int = TERMS) -> FactorizationMachine:
-    ids = labelled_ids(labels, "toxic", mod, part, sample)
-    # The sample's ids are bounded by the limit, whatever the size of the tables.
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    texts = labelled_texts(docs, labels, "toxic", mod, part, sample)
     types = {"terms": pa.list_(pa.int32()), "weights": pa.list_(pa.float64()), "label": pa.int32(), "doc_id": pa.int64()}
 
     def process(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = [buckets_of(t) for t in batch.column(0).to_pylist()]
         yield batch_of({"terms": [t for t, _ in found], "weights": [x for _, x in found], "label": batch.column(1), "doc_id": batch.column(2)}, types)
 
-    sampled = durable(map_batches(texts, ["text", "label", F.col("doc_id").cast("long").alias("doc_id")], process, "terms array<int>, weights array<double>, label int, doc_id long"))
+    sampled = durable(map_batches(texts, ["text", "label", "doc_id"], process, "terms array<int>, weights array<double>, label int, doc_id long"))
     n = sampled.agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0")).first()
     n1, n0 = max(1, n["n1"] or 0), max(1, n["n0"] or 0)
     # Buckets in 3 documents or more, by how surely their shares differ; at most terms of them reach the driver.
