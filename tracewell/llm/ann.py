@@ -2,22 +2,32 @@
 
 Equal vectors are one point: copies are collapsed first, keeping the smallest
 TOP + 1 ids of each (a query never needs more), so copies neither crowd the
-graph nor one task. Points are dealt to shards by hash; each shard builds a
-directed graph: points enter in growing rounds, a greedy search from the entry
-point proposes neighbours, and robust pruning keeps, nearest first, only those
-that no kept neighbour is ALPHA times closer to; back edges are pruned alike.
-A beam search from the entry point then queries every shard with every query,
-and the nearest over all shards are merged by score, ties by the smaller id.
-
-Inner products become distances by one more coordinate that brings each vector
-to the shard's largest norm. Scores are inner products of the original vectors
-in double precision.
-
-Shards hold about SHARD_ROWS points at most, and there are at least MIN_SHARDS;
-queries travel in blocks of BLOCK, each a task's input together with one shard.
-Vectors that are null, zero or hold null or non-finite components take no part,
-nor do rows with a null id. Vectors of different lengths are never compared. An
-id that occurs more than once counts for each of its vectors, but once a result.
+graph nor one task. Points are dealt to shards by norm class, then by hash; each shard
+builds a directed graph: points enter in growing rounds, a greedy search from the entry
+point proposes neighbours, and robust pruning keeps, nearest first, only those that no
+kept neighbour is ALPHA times closer to; back edges are pruned alike. A beam search from
+the entry point then queries every shard with every query, and the nearest over all
+shards are merged by score, ties by the smaller id.
+
+Inner products become distances by one more coordinate that brings each vector to the
+shard's largest norm. Norms of a shard differ little, as CLASSES quantiles of the norm
+are kept apart: otherwise that coordinate would hide the directions of short vectors.
+
+Each shard's beam is measured, not fixed: SAMPLE queries are answered exactly within
+the shard, and the beam doubles until the graph finds TARGET of their neighbours (or the
+beam holds the whole shard). Easy data keep a small beam; data without any structure
+pay for theirs.
+
+Scores are inner products of the original vectors in double precision.
+
+Shards hold about SHARD_ROWS points at most, fewer where vectors are long (SHARD_BYTES).
+A task searches a group of shards (about GROUP_ROWS points, GROUP_BYTES) with a block of
+queries (BLOCK, or as many as GROUP_BYTES hold), so a query travels once for each group
+and a group once for each block: with up to BLOCK queries, what is shuffled grows with
+the rows alone. Vectors that are null, zero or hold null or non-finite components take
+no part, nor do rows with a null id. Vectors of different lengths are never compared. An
+id that occurs more than once counts for each of its vectors, but once a result. An
+empty table gives an empty result; columns besides the id and the vector are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +43,10 @@ from pyspark.sql import Window as W
 
 from .common import durable
 
-ALPHA, DEGREE, BUILD_BEAM, BEAM = 1.2, 32, 64, 96
-SHARD_ROWS, MIN_SHARDS, BLOCK = 50_000, 6, 2048
+ALPHA, DEGREE, BUILD_BEAM, BEAM = 1.2, 48, 96, 64
+SHARD_ROWS, SHARD_BYTES, MIN_SHARDS, CLASSES = 2000, 1 << 25, 6, 64
+GROUP_ROWS, GROUP_BYTES, BLOCK = 50_000, 1 << 26, 1 << 15
+SAMPLE, TARGET = 32, 0.95
 
 # --- one shard's graph -------------------------------------------------------
 
@@ -180,6 +192,21 @@ class Graph:
         parts = [self._search(lifted[i : i + 256], beam)[0] for i in range(0, len(q), 256)]
         return np.vstack(parts) if parts else np.empty((0, beam), np.int64)
 
+    def measured_beam(self, x: np.ndarray, q: np.ndarray, top: int, beam: int = BEAM, target: float = TARGET) -> int:
+        """The first beam, doubling from the given one, that finds target of the top of queries q in points x."""
+        if not len(q) or not len(x):
+            return max(beam, top)
+        exact = q @ x.T
+        k = min(top, len(x))
+        least = np.partition(exact, len(x) - k, axis=1)[:, len(x) - k]
+        while beam < len(x):
+            found = self.query(q, beam)
+            near = np.where(found >= 0, np.take_along_axis(exact, np.maximum(found, 0), 1), -np.inf)
+            if np.minimum((near >= least[:, None]).sum(axis=1), k).mean() >= target * k:
+                break
+            beam *= 2
+        return max(top, min(beam, len(x)))
+
 
 # --- Spark -------------------------------------------------------------------
 
@@ -211,63 +238,105 @@ def _pack(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, v binary")
 
 
+def _with_norm(points: DataFrame) -> DataFrame:
+    """points (h, v, ids, dim) with the norm of each vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            norms = [float(np.linalg.norm(np.frombuffer(v, "<f8"))) for v in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(norms, pa.float64())], names=[*b.schema.names, "norm"])
+
+    return points.mapInArrow(run, "h long, v binary, ids array<long>, dim int, norm double")
+
+
+def _norm_classes(points: DataFrame, classes: int) -> list[float]:
+    """Up to classes - 1 rising bounds that cut the points' norms into parts of about equal size."""
+    if classes < 2:
+        return []
+    shares = [k / classes for k in range(1, classes)]
+    got = points.agg(F.percentile_approx("norm", F.array(*map(F.lit, shares)), F.lit(10_000)).alias("q")).first()["q"]
+    return sorted(set(got or []))
+
+
 def search(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, top: int = 20,
-    shard_rows: int = SHARD_ROWS, min_shards: int = MIN_SHARDS, beam: int = BEAM,
+    shard_rows: int = SHARD_ROWS, min_shards: int = MIN_SHARDS, beam: int = BEAM, target: float = TARGET,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the top nearest of each row whose id is divisible by every."""
     packed = durable(_pack(usable(vectors, id_col, vec_col)).distinct())
     # Copies: the smallest ids of each vector, limited within the tasks before the exchange.
     by_vector = W.partitionBy("h", "v").orderBy("id")
     few = packed.withColumn("h", F.xxhash64("v")).withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= top + 1)
-    points = durable(few.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("dim", F.length("v")))
-    n = points.count()
+    points = few.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("dim", F.length("v"))
+    points = durable(_with_norm(points))
+    size = points.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
+    n, row_bytes = size["n"], size["dim"] or 8
+    shard_rows = max(1, min(shard_rows, SHARD_BYTES // row_bytes))
+    group_rows = max(shard_rows, min(GROUP_ROWS, GROUP_BYTES // row_bytes))
     shards = max(min_shards, -(-n // shard_rows))
+    groups = max(min_shards, -(-n // group_rows))
     asked = packed.where(F.col("id") % every == 0)
-    blocks = max(1, -(-asked.count() // BLOCK))
+    blocks = max(1, -(-asked.count() // max(1, min(BLOCK, GROUP_BYTES // row_bytes))))
     # A query's vector is searched once however many ids share it; the smallest of them names it.
     named = asked.withColumn("h", F.xxhash64("v")).groupBy("h", "v").agg(F.min("id").alias("qid"))
     queries = durable(named.withColumn("dim", F.length("v")).withColumn("block", F.pmod(F.col("h"), F.lit(blocks)).cast("int")))
-
-    dealt = points.withColumn("shard", F.pmod(F.shiftright("h", 17), F.lit(shards)).cast("int"))
+    # At most SAMPLE queries of each vector length; lengths differ only where the table mixes them.
+    first = W.partitionBy("dim").orderBy("h", "v")
+    sample = [(r["dim"], bytes(r["v"])) for r in queries.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE).orderBy("dim", "h", "v").collect()]
+
+    bounds = _norm_classes(points, min(CLASSES, shards))
+    kind = F.lit(0)
+    for bound in bounds:
+        kind = kind + F.when(F.col("norm") > bound, 1).otherwise(0)
+    classed = points.withColumn("kind", kind)
+    # At most CLASSES rows a vector length; a class is split by hash into shards of its own.
+    split = classed.groupBy("dim", "kind").agg(F.ceil(F.count("*") / F.lit(-(-n // shards) or 1)).cast("int").alias("parts"))
+    dealt = classed.join(F.broadcast(split), ["dim", "kind"]).withColumn("part", F.pmod(F.shiftright("h", 17), F.col("parts")).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         # Order by content: the graph does not depend on the order in which rows arrive.
         pdf = pdf.sort_values(["h", "v"], kind="stable")
-        x = _matrix(pdf.v)
+        x, dim = _matrix(pdf.v), int(pdf.dim.iloc[0])
         g = Graph(x)
-        return pd.DataFrame({"dim": [pdf.dim.iloc[0]], "shard": [pdf.shard.iloc[0]], "x": [x.tobytes()],
-                             "edges": [g.edges.tobytes()], "entry": [g.entry], "ids": [[list(map(int, i)) for i in pdf.ids]]})
+        asks = [np.frombuffer(v, "<f8") for d, v in sample if d == dim]
+        chosen = g.measured_beam(x, np.vstack(asks) if asks else x[:0], top + 1, beam, target)
+        return pd.DataFrame({"dim": [dim], "kind": [pdf.kind.iloc[0]], "part": [pdf.part.iloc[0]], "x": [x.tobytes()], "edges": [g.edges.tobytes()],
+                             "entry": [g.entry], "beam": [chosen], "ids": [[list(map(int, i)) for i in pdf.ids]]})
 
-    graphs = durable(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, x binary, edges binary, entry int, ids array<array<long>>"))
+    made = dealt.select("dim", "kind", "part", "h", "v", "ids").groupBy("dim", "kind", "part").applyInPandas(
+        build, "dim int, kind int, part int, x binary, edges binary, entry int, beam int, ids array<array<long>>")
+    graphs = durable(made.withColumn("grp", F.pmod(F.xxhash64("kind", "part"), F.lit(groups)).cast("int")).drop("kind", "part"))
 
     none = F.lit(None)
     sent = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
-        "dim", "shard", "block", "x", "edges", "entry", "ids", F.lit(-1).cast("long").alias("qid"), none.cast("binary").alias("v"))
-    asking = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(
-        "dim", "shard", "block", none.cast("binary").alias("x"), none.cast("binary").alias("edges"), F.lit(-1).alias("entry"),
+        "dim", "grp", "block", "x", "edges", "entry", "beam", "ids", F.lit(-1).cast("long").alias("qid"), none.cast("binary").alias("v"))
+    asking = queries.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(
+        "dim", "grp", "block", none.cast("binary").alias("x"), none.cast("binary").alias("edges"), F.lit(-1).alias("entry"), F.lit(-1).alias("beam"),
         none.cast("array<array<long>>").alias("ids"), "qid", "v")
 
     def beam_search(pdf: pd.DataFrame) -> pd.DataFrame:
-        index, q = pdf[pdf.x.notna()], pdf[pdf.v.notna()]
+        index, q = pdf[pdf.x.notna()], pdf[pdf.v.notna()].sort_values("qid", kind="stable")
+        out = {"qid": [], "vec_id": [], "score": []}
         if not len(index) or not len(q):
-            return pd.DataFrame({"qid": [], "vec_id": [], "score": []})
-        index = index.iloc[0]
-        g = Graph.restore(np.frombuffer(index.x, "<f8").reshape(-1, int(index.dim) // 8), index.edges, int(index.entry))
-        original, qx = np.frombuffer(index.x, "<f8").reshape(len(g.x), -1), _matrix(q.v)
-        qid, who, score = [], [], []
-        for row, hit, key in zip(qx, g.query(qx, max(beam, top + 1)), q.qid):
-            hit = hit[hit >= 0]
-            s = original[hit] @ row
-            order = np.argsort(-s, kind="stable")[: 2 * top + 2]
-            pairs = sorted((-float(s[k]), int(i)) for k in order for i in index.ids[hit[k]])[: top + 1]
-            qid += [key] * len(pairs)
-            who += [i for _, i in pairs]
-            score += [-s for s, _ in pairs]
-        return pd.DataFrame({"qid": qid, "vec_id": who, "score": score})
-
-    found = sent.unionByName(asking).groupBy("dim", "shard", "block").applyInPandas(beam_search, "qid long, vec_id long, score double")
-    # The best of all shards for each distinct query vector, then for each id that asked with it.
+            return pd.DataFrame(out)
+        qx, dim = _matrix(q.v), int(q.dim.iloc[0])
+        near: list[list[tuple[float, int]]] = [[] for _ in range(len(q))]
+        for shard in index.itertuples():
+            original = np.frombuffer(shard.x, "<f8").reshape(-1, dim // 8)
+            g = Graph.restore(original, shard.edges, int(shard.entry))
+            for k, hit in enumerate(g.query(qx, max(int(shard.beam), top + 1))):
+                hit = hit[hit >= 0]
+                s = original[hit] @ qx[k]
+                best = np.argsort(-s, kind="stable")[: 2 * top + 2]
+                near[k] = sorted([*near[k], *((-float(s[j]), int(i)) for j in best for i in shard.ids[hit[j]])])[: top + 1]
+        for key, pairs in zip(q.qid, near):
+            out["qid"] += [key] * len(pairs)
+            out["vec_id"] += [i for _, i in pairs]
+            out["score"] += [-s for s, _ in pairs]
+        return pd.DataFrame(out)
+
+    found = sent.unionByName(asking).groupBy("dim", "grp", "block").applyInPandas(beam_search, "qid long, vec_id long, score double")
+    # The best of all groups for each distinct query vector, then for each id that asked with it.
     best = found.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= top + 1)
     lists = best.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.negative("score").alias("s"), "vec_id"))).alias("near"))
     own = asked.withColumn("h", F.xxhash64("v")).join(queries.select("h", "v", "qid"), ["h", "v"]).select(F.col("id").alias("query_id"), "qid")
