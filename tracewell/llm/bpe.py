@@ -43,7 +43,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, map_batches, slices
+from .common import batch_of, map_batches, row_type, slices, whole_rows
 
 LEAF, SPAN = 256, 512
 #: Matches of up to SHORT characters are kept, CACHE of them a process; the bytes from which merges use a heap.
@@ -392,6 +392,18 @@ def encode_column(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pa
     return map_batches(df, [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")], process, "id long, ids array<int>")
 
 
+def count_tokens(df: DataFrame, text_col: str, ranks_path: str, pattern: str) -> DataFrame:
+    """(row, n_tokens): every row of df as it is, with the number of its text's tokens."""
+
+    def process(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        c = codec(ranks_path, pattern)
+        for part in slices(batch, "text", 1 << 21):
+            n = [len(ids) for ids in c.encode_all([t or "" for t in part.column(1).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], names=["row", "n_tokens"])
+
+    return map_batches(df, [whole_rows(df), F.col(text_col).alias("text")], process, f"row {row_type(df)}, n_tokens long")
+
+
 def token_digest(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each row's whole text, encoded and decoded again."""
     types = {"id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}

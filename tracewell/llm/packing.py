@@ -18,8 +18,16 @@ a time, to the bins from first on. Ranks within a length are dealt by counting,
 in buckets of a hash, so a length that a third of all documents share is no
 single task's work.
 
+Lengths are in any unit that a text can be cut by: `start` and `length` of a piece count
+the same unit, so sequences() builds the sequences from the plan. The registered query
+packs UTF-8 bytes, the pipeline the tokens of the byte-pair codec; without a length the
+estimate tokens_of() stands in.
+
 Null and empty texts have length 0 and no bin (null). Rows that repeat are items
-of their own. An empty table gives an empty result.
+of their own. Very long texts give many pieces. Ties: among open bins of equal room the
+one opened first is filled, among capacities of equal cost the smaller is opened, and
+items of one length are taken by doc_id and piece within their bucket. An empty table
+gives an empty result, and columns besides the id and the length's are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +41,8 @@ from pyspark.sql import Window as W
 CAPACITIES = (512, 1024, 2048, 4096)
 QUADRATIC, OVERHEAD = 8192.0, 16.0
 BYTES_PER_TOKEN = 4
-_BUCKET_ROWS = 100_000
+#: Items of one length are ranked in buckets of about this many.
+_BUCKET_ROWS = 10_000
 
 
 def cost(capacity: int) -> float:
@@ -124,6 +133,7 @@ def tokens_of(text_col: str) -> Column:
 def pack(df: DataFrame, id_col: str = "doc_id", length: Column | None = None, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
     """(doc_id, piece, start, length, bin_id, capacity, bin_used): a row for each piece of each row of df."""
     spark, most = df.sparkSession, max(capacities)
+    # Read several times below; a length that is a plain column of the input costs a narrow scan each time.
     rows = df.select(F.col(id_col).alias("doc_id"), (tokens_of("text") if length is None else F.coalesce(length.cast("long"), F.lit(0))).alias("n"))
     pieces = F.greatest(F.lit(1), F.ceil(F.col("n") / most)).cast("int")
     items = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).select(
@@ -157,3 +167,21 @@ def pack(df: DataFrame, id_col: str = "doc_id", length: Column | None = None, ca
         (F.col("r.first") + F.floor((F.col("rank") - F.col("r.lo")) / F.col("r.per_bin"))).cast("long").alias("bin_id"),
         F.col("r.capacity").alias("capacity"), F.col("r.used").alias("bin_used"),
     )
+
+
+def sequences(packed: DataFrame, units: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(bin_id, capacity, units): each bin's pieces joined in order of doc_id and piece.
+
+    units has id_col, unique, and units, an array or a binary that start and length count.
+    A bin holds at most its capacity, so no group is large.
+    """
+    binary = units.schema["units"].dataType.simpleString() == "binary"
+    cut = F.substring("units", F.col("start") + 1, F.col("length")) if binary else F.slice("units", F.col("start") + 1, F.col("length"))
+    parts = packed.where("bin_id is not null").join(units.select(F.col(id_col).alias("doc_id"), "units"), "doc_id").select(
+        "bin_id", "capacity", F.struct("doc_id", "piece", cut.alias("units")).alias("p"))
+    bins = parts.groupBy("bin_id", "capacity").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    if binary:
+        joined = F.aggregate("p.units", F.lit(b""), lambda a, x: F.concat(a, x))
+    else:
+        joined = F.flatten("p.units")
+    return bins.select("bin_id", "capacity", joined.alias("units"))

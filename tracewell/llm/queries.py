@@ -34,8 +34,13 @@ def media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mjpeg.media_digest(media).withColumnRenamed("id", "doc_id")
 
 
+#: Lengths in UTF-8 bytes that a packed sequence may have.
+BYTE_CAPACITIES = (2048, 4096, 8192, 16384)
+
+
 def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    """Whole texts as bytes: start and length of a piece are places in its text's UTF-8 bytes."""
+    return packing.pack(table(spark, sf_dir, "documents"), length=F.octet_length("text"), capacities=BYTE_CAPACITIES)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
