@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tracewell import patterns as P
 
-MARK = "\u0001"
 #: Python's str.strip() and Java's trim differ; these are the characters both sources know.
 SPACE = r"[\s\u001c-\u001f\u0085 ]"
 
@@ -30,11 +29,6 @@ def newlines(c: Column) -> Column:
     return F.char_length(c) - F.char_length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-def line_of(c: Column, offset: Column) -> Column:
-    """The line (from 1) on which the character at an offset (from 0) stands."""
-    return newlines(F.left(c, offset)) + 1
-
-
 def mask_literals(c: Column) -> Column:
     """c with comments and literals blanked, at the same length and with the same lines."""
     blank = F.transform(F.regexp_extract_all(c, F.lit(P.LITERALS), F.lit(0)), lambda m: F.regexp_replace(m, F.lit(r"[^\n]"), F.lit(" ")))
@@ -58,7 +52,9 @@ def places_sql(c: str, pattern: str) -> str:
     from the match to the next one. Texts without a match cost one search.
     """
     rx = raw(pattern)
-    fold = f"""aggregate(split(regexp_replace({c}, {rx}, concat(chr(1), '$0')), chr(1), -1),
+    # Gaps and matches are paired, so no character of the text can be taken for a mark.
+    parts = f"zip_with(split({c}, {rx}, -1), concat(array(''), regexp_extract_all({c}, {rx}, 0)), (g, m) -> concat(m, g))"
+    fold = f"""aggregate({parts},
         named_struct('at', 0, 'line', 0, 'out', CAST(array() AS {PLACES})),
         (s, p) -> named_struct(
             'at', s.at + char_length(p), 'line', s.line + (char_length(p) - char_length(replace(p, chr(10), ''))),

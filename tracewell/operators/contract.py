@@ -117,10 +117,24 @@ def covered() -> Column:
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """Findings with finding_no, from 1 within each scan: by priority, file, line, then as found."""
-    scan = W.partitionBy("scan_id") if "scan_id" in found.columns else W.partitionBy(F.lit(0))
-    order = scan.orderBy(F.desc(rank(F.col("priority"))), "path", "line", "method_ord", "emit", "sub")
-    return found.withColumn("finding_no", F.row_number().over(order))
+    """Findings with finding_no, from 1 within each scan: by priority, file, line, then as found.
+
+    Findings are dealt out by ranges of that order and numbered within each part; a part's
+    first number follows from the counts of the parts before it, so no task holds a scan.
+    """
+    from tracewell.operators.store import durable
+
+    scan = ["scan_id"] if "scan_id" in found.columns else []
+    order = [*scan, F.desc(rank(F.col("priority"))), "path", "line", "method_ord", "emit", "sub"]
+    # The parts must not be dealt anew, so they are written once.
+    parts = durable(found.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    # A row for each part (and scan); a scan's parts follow each other.
+    sizes = parts.groupBy(*scan, "_part").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*(scan or [F.lit(0)])).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*scan, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    here = W.partitionBy(*scan, "_part").orderBy(*order[len(scan):])
+    ranked = parts.withColumn("_no", F.row_number().over(here)).join(offsets, [*scan, "_part"])
+    return ranked.withColumn("finding_no", (F.col("_no") + F.col("_before")).cast("int")).select(*found.columns, "finding_no")
 
 
 def scores(found: DataFrame, methods: DataFrame, project_type: str = "java-spark") -> DataFrame:
@@ -132,7 +146,6 @@ def scores(found: DataFrame, methods: DataFrame, project_type: str = "java-spark
     for bucket, categories in P.BUCKETS.items():
         here = F.col("category").isin(*categories)
         full = float(P.WEIGHTS[bucket])
-        ratio = F.sum(F.when(here & covered(), 1).otherwise(0)) / F.sum(F.when(here, 1).otherwise(0))
         ratio = F.when(F.sum(F.when(here, 1).otherwise(0)) > 0, F.try_divide(F.sum(F.when(here & covered(), 1).otherwise(0)), F.sum(F.when(here, 1).otherwise(0))))
         parts.append(F.coalesce(F.bround(full * ratio, 1), F.lit(full)).alias(bucket))
     by_finding = found.agg(*parts)

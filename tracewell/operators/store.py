@@ -145,12 +145,15 @@ def least_reached(edges: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's checkpoint folder; where none is set, in a temporary one (single machines)."""
+    """Cut the lineage in the folder of spark.checkpoint.dir; where none is set, in a temporary one if the session is local, else an error."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewell-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracewell-"))
     return df.checkpoint()
 
 
@@ -184,8 +187,8 @@ TABLES: dict[str, T.StructType] = {
                         duration_ms=_L, input_tokens=_L, output_tokens=_L, error_type=_S, prompt_hash=_S, cache_key=_S),
     "status_events": _schema(finding_id=_L, status=_S, ts=_TS, seq=_L),
 }
-#: Findings of a scan are numbered from 1; an id joins scan and number.
-ID_SPAN = 10_000_000
+#: Findings of a scan are numbered from 1 by an int, which this span holds with room; an id joins scan and number.
+ID_SPAN = 1 << 40
 
 
 def now() -> datetime:

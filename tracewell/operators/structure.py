@@ -118,7 +118,7 @@ def files(sources: DataFrame) -> DataFrame:
 
     Further columns of sources stay. A null content counts as empty.
     """
-    content = F.replace(F.coalesce("content", F.lit("")), F.lit(T.MARK), F.lit(""))
+    content = F.coalesce("content", F.lit(""))
     low = F.lower("path")
     df = sources.withColumn("content", content).withColumn("masked", T.mask_literals(F.col("content")))
     df = df.withColumns({

@@ -100,6 +100,18 @@ def mask_literals(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", F.char_length(masked).cast("long").alias("chars"), T.newlines(masked).cast("long").alias("newlines"))
 
 
+_MASKED_SQL = """
+WITH g AS (SELECT page_id, regexp_split_to_array(html, '{p}') AS gaps, regexp_extract_all(html, '{p}') AS found FROM pages)
+SELECT page_id, sha256(array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(regexp_replace(found[i], '[^\n]', ' ', 'g'), '')), '')) AS masked_sha256
+FROM g""".replace("{p}", P.LITERALS.replace("*+", "*").replace("?+", "?").replace("'", "''"))
+
+
+@query("text_masked_literals", _MASKED_SQL)
+def masked_literals(spark, sf_dir):
+    """The masked text itself."""
+    return _read(spark, sf_dir, "pages").select("page_id", F.sha2(T.mask_literals(F.col("html")), 256).alias("masked_sha256"))
+
+
 @query("struct_brace_pairs", r"""
 WITH parts AS (
   SELECT page_id, unnest(regexp_extract_all(html, '[{}]|[^{}]+')) AS part, generate_subscripts(regexp_extract_all(html, '[{}]|[^{}]+'), 1) AS i FROM pages),
@@ -141,15 +153,6 @@ def match_lines(spark, sf_dir):
     return found.groupBy("doc_id", (F.col("m.line") + 1).cast("long").alias("line")).agg(F.count("*").alias("hits"))
 
 
-@query("hash_cache_keys", """
-SELECT doc_id, sha256(sha256(text) || sha256(text || source) || 'join@1' || 'p1' || 'm') AS cache_key, substr(sha256(text), 1, 16) AS prompt_hash,
-       substr(sha1(source || '|' || lang || '|' || doc_id || '|JOIN|join|' || lower(regexp_replace(text, '[ \\t\\n\\r]+', '', 'g'))), 1, 16) AS fingerprint
-FROM documents WHERE regexp_full_match(text, '[ -~\\n]*')""".replace("\\\\", "\\"))
-def cache_keys(spark, sf_dir):
-    """Cache key, prompt hash and fingerprint over documents of printable ASCII characters (so that both engines agree on case)."""
-    return document_keys(_read(spark, sf_dir, "documents").where(F.rlike("text", F.lit(r"\A[ -~\n]*\z"))))
-
-
 def document_keys(docs: DataFrame) -> DataFrame:
     """Cache key, prompt hash and fingerprint of every document, whatever its characters."""
     from tracewell.operators.advise import cache_key
