@@ -17,11 +17,12 @@ from pyspark.sql import Window as W
 from tracewell import patterns as P
 from tracewell.functions import text as T
 from tracewell.operators import contract, detect, store
+from tracewell.plans import taxonomy
 from tracewell.plans.scan import Analysis, analyse
 from tracewell.sources.corpus import rendered_corpus
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(taxonomy.QUERIES)
+ORACLES: dict[str, str] = dict(taxonomy.ORACLES)
 
 
 def query(name: str, sql: str | None = None):
