@@ -187,3 +187,18 @@ def test_reliabilities_follow_agreement(spark):
     df = spark.createDataFrame(rows, "kind int, base boolean, v1 int, v2 int, v3 int, n long")
     w = {(r.base, r.v1, r.v2, r.v3): r.w for r in pii.vote_probabilities(df).collect()}
     assert w[True, 2, 2, 1] == 1 and w[False, 2, 2, 2] > 0.99 and w[False, 0, 0, 0] < 0.01 and w[False, 2, 2, 0] > 0.5 > w[False, 0, 0, 2]
+
+
+def test_pairwise_score_equals_a_double_loop():
+    rng = np.random.default_rng(5)
+    fm = toxicity.FactorizationMachine(np.arange(40), 0.3, rng.normal(size=40), rng.normal(size=(40, 6)) * 0.3)
+    rows = []
+    for n in (0, 1, 2, 7, 30):
+        at = np.sort(rng.choice(40, n, replace=False))
+        rows.append((at, rng.uniform(0.5, 2, n)))
+    for (at, x), got in zip(rows, fm.score_rows(rows)):
+        z = fm.w0 + sum(fm.w[i] * a for i, a in zip(at, x))
+        for k in range(len(at)):
+            for l in range(k):
+                z += fm.v[at[k]] @ fm.v[at[l]] * x[k] * x[l]
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))

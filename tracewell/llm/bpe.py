@@ -47,7 +47,7 @@ from .common import batch_of, map_batches, row_type, slices, whole_rows
 
 LEAF, SPAN = 256, 512
 #: Matches of up to SHORT characters are kept, CACHE of them a process; the bytes from which merges use a heap.
-SHORT, CACHE, HEAP = 32, 200_000, 200
+SHORT, CACHE, HEAP = 32, 100_000, 200
 _NONE = 1 << 60
 
 

@@ -118,3 +118,9 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 25) -> Ite
     step = rows if sizes <= most_bytes else max(1, rows * most_bytes // sizes)
     for start in range(0, rows, step):
         yield batch.slice(start, step)
+
+
+def few_rows(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many rows, so that what is made of their texts stays small."""
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)

@@ -34,14 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, durable, held_out, labelled_texts, map_batches, row_type, whole_rows
+from .common import batch_of, durable, few_rows, held_out, labelled_texts, map_batches, row_type, whole_rows
 
 BUCKETS, TERMS, FACTORS, SAMPLE = 1 << 22, 4096, 8, 8000
 _WORD = re.compile(r"\w+")
 
 
 PREFIXES = (4, 5, 6, 7)
-_CACHE = 200_000
+_CACHE = 50_000
 
 
 def word_buckets(word: str) -> list[int]:
@@ -158,8 +158,9 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, part: int = 0, sampl
     types = {"terms": pa.list_(pa.int32()), "weights": pa.list_(pa.float64()), "label": pa.int32(), "doc_id": pa.int64()}
 
     def process(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = [buckets_of(t) for t in batch.column(0).to_pylist()]
-        yield batch_of({"terms": [t for t, _ in found], "weights": [x for _, x in found], "label": batch.column(1), "doc_id": batch.column(2)}, types)
+        for part in few_rows(batch):
+            found = [buckets_of(t) for t in part.column(0).to_pylist()]
+            yield batch_of({"terms": [t for t, _ in found], "weights": [x for _, x in found], "label": part.column(1), "doc_id": part.column(2)}, types)
 
     sampled = durable(map_batches(texts, ["text", "label", "doc_id"], process, "terms array<int>, weights array<double>, label int, doc_id long"))
     n = sampled.agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0")).first()
@@ -192,8 +193,9 @@ def score(docs: DataFrame, model: FactorizationMachine, mod: int = 5, part: int
 
     def process(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fm = model_ref.value
-        s = fm.score_rows([fm.read(t) for t in batch.column(2).to_pylist()])
-        yield batch_of({"doc_id": batch.column(0), "held_out": batch.column(1), "score": s, "predicted": (s >= 0.5).astype(np.int32)}, types)
+        for part in few_rows(batch):
+            s = fm.score_rows([fm.read(t) for t in part.column(2).to_pylist()])
+            yield batch_of({"doc_id": part.column(0), "held_out": part.column(1), "score": s, "predicted": (s >= 0.5).astype(np.int32)}, types)
 
     return map_batches(docs, [F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", mod, part).alias("held_out"), "text"], process,
                        "doc_id long, held_out boolean, score double, predicted int")
@@ -205,7 +207,8 @@ def with_score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
 
     def process(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fm = model_ref.value
-        s = fm.score_rows([fm.read(t) for t in batch.column(0).field("text").to_pylist()])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["row", "score"])
+        for part in few_rows(batch):
+            s = fm.score_rows([fm.read(t) for t in part.column(0).field("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], names=["row", "score"])
 
     return map_batches(docs, [whole_rows(docs)], process, f"row {row_type(docs)}, score double")
