@@ -124,13 +124,14 @@ def _compare(args, cfg, spark) -> int:
         raise ValueError("compare takes two scans")
     s = store.Store(spark, cfg.database["path"])
     a, b = args.scan
-    score = {r["id"]: r["score"] or 0.0 for r in s.read("scans").where(F.col("id").isin(a, b)).collect()}
+    scans = s.read("scans").where(F.col("id").isin(a, b))
+    score = {r["id"]: r["score"] or 0.0 for r in scans.collect()}
     if set(score) != {a, b}:
         raise ValueError("one or both scans were not found")
-    counts = {(r["scan_id"], r["priority"]): r["n"] for r in store.priority_counts(s.read("findings").where(F.col("scan_id").isin(a, b))).collect()}
+    counts = {r["priority"]: r for r in store.compare(s.read("findings"), scans.select(F.col("id").alias("scan_id"), "score"), a, b).collect()}
     print(f"Scan {a}: {score[a]}\nScan {b}: {score[b]}\nImprovement: {round(score[b] - score[a], 1):+}")
     for p in ("HIGH", "MEDIUM", "LOW"):
-        print(f"{p:<8}{counts.get((a, p), 0)} -> {counts.get((b, p), 0)}")
+        print(f"{p:<8}{counts[p]['before']} -> {counts[p]['after']}" if p in counts else f"{p:<8}0 -> 0")
     return 0
 
 

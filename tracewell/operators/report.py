@@ -13,7 +13,6 @@ import os
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tracewell import __version__
 from tracewell import patterns as P
@@ -68,8 +67,8 @@ def of_category(findings: DataFrame, *categories: str) -> DataFrame:
 
 def contract_rows(findings: DataFrame) -> DataFrame:
     """The first finding of each category."""
-    first = W.partitionBy("category").orderBy("finding_no")
-    return findings.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
+    whole = F.struct(*[F.col(f"`{c}`") for c in findings.columns])
+    return findings.groupBy("category").agg(F.min_by(whole, "finding_no").alias("first")).select("first.*")
 
 
 def matching(findings: DataFrame, show: str = "ALL", search: str = "") -> DataFrame:
@@ -225,11 +224,7 @@ class Report:
             out += [f"- {x['operation_type']} at {x['path']}:{x['line']} runs in no action of its method" for x in _rows(lost.limit(20))]
             out += ["", "## Output", "", *[place(f) for f in self.findings if f["category"] in ("DATASET_WRITE", "PARQUET_WRITE")], ""]
         out += ["## Exceptions without error logs", "", *[place(f) for f in self.findings if f["category"] == "EXCEPTION"], "", "## Contract", "", "| Operation | Priority | Fields |", "| --- | --- | --- |"]
-        seen: set[str] = set()
-        for f in self.findings:
-            if f["category"] not in seen:
-                seen.add(f["category"])
-                out.append(f"| {f['category']} | {f['priority']} | {', '.join(f['required_fields'])} |")
+        out += [f"| {f['category']} | {f['priority']} | {', '.join(f['required_fields'])} |" for f in _rows(contract_rows(t["findings"]).orderBy("finding_no"))]
         out += ["", "## Files to watch", "", "| File | HIGH | MEDIUM | LOW | Logs |", "| --- | ---: | ---: | ---: | ---: |",
                 *[f"| {x['path']} | {x['high']} | {x['medium']} | {x['low']} | {x['existing_logs'] or 0} |" for x in _rows(files_to_watch(t["findings"], t["methods"]))],
                 "", "## Methods to watch", "", *[f"- `{x['class_name']}.{x['method']}` in {x['path']}: weight {x['risk_weight']}, readiness {x['ai_readiness']}" for x in _rows(methods_to_watch(t["findings"]))],

@@ -53,10 +53,10 @@ def list_findings(findings: DataFrame, scan_id: int | None = None, priority: str
     return findings.orderBy(F.desc(C.rank(F.col("priority"))), "id")
 
 
-def carry_status(new: DataFrame, old: DataFrame) -> DataFrame:
-    """new with status: that of the latest old finding of the same project and fingerprint that was decided, else OPEN."""
+def carry_status(new: DataFrame, old: DataFrame, order: str | Column = "id") -> DataFrame:
+    """new with status: that of the latest old finding (by order) of the same project and fingerprint that was decided, else OPEN."""
     decided = old.where(F.col("status").isin(*DECIDED) & F.col("fingerprint").isNotNull())
-    last = decided.groupBy("project_id", "fingerprint").agg(F.max_by("status", "id").alias("status"))
+    last = decided.groupBy("project_id", "fingerprint").agg(F.max_by("status", order).alias("status"))
     return new.drop("status").join(last, ["project_id", "fingerprint"], "left").withColumn("status", F.coalesce("status", F.lit("OPEN")))
 
 
@@ -187,8 +187,20 @@ TABLES: dict[str, T.StructType] = {
                         duration_ms=_L, input_tokens=_L, output_tokens=_L, error_type=_S, prompt_hash=_S, cache_key=_S),
     "status_events": _schema(finding_id=_L, status=_S, ts=_TS, seq=_L),
 }
-#: Findings of a scan are numbered from 1 by an int, which this span holds with room; an id joins scan and number.
-ID_SPAN = 1 << 40
+#: An id joins scan and number: scan * ID_SPAN + number, as in earlier stores, while the number is below ID_SPAN;
+#: WIDE + scan * 2**31 + number from there on (numbers are ints). A scan past either range fails by overflow.
+ID_SPAN, WIDE = 10_000_000, 1 << 62
+
+
+def id_of(scan: Column, number: Column) -> Column:
+    """The id of a scan's finding of that number."""
+    scan = scan.cast("long")
+    return F.when(number < ID_SPAN, scan * ID_SPAN + number).otherwise(F.lit(WIDE) + scan * (1 << 31) + number)
+
+
+def scan_of(finding_id: int) -> int:
+    """The scan that a finding's id names."""
+    return (finding_id - WIDE) >> 31 if finding_id >= WIDE else finding_id // ID_SPAN
 
 
 def now() -> datetime:
@@ -233,7 +245,7 @@ class Store:
         """Append a status event; False if there is no such finding."""
         if status not in STATUSES:
             raise ValueError(f"unknown status {status}")
-        if self.read("findings").where((F.col("scan_id") == finding_id // ID_SPAN) & (F.col("id") == finding_id)).isEmpty():
+        if self.read("findings").where((F.col("scan_id") == scan_of(finding_id)) & (F.col("id") == finding_id)).isEmpty():
             return False
         seq = self.read("status_events").where(F.col("finding_id") == finding_id).count()
         self.append("status_events", self.spark.createDataFrame([(finding_id, status, now(), seq)], TABLES["status_events"]))
@@ -266,9 +278,9 @@ class Store:
             found = found.drop("llm_status").join(advice.statuses, "finding_no", "left").withColumn("llm_status", F.coalesce("llm_status", F.lit("NOT_RUN")))
             self.append("recommendations", mine(advice.recommendations))
             self.append("llm_runs", mine(advice.runs))
-        found = mine(found).withColumn("id", F.lit(scan_id).cast("long") * ID_SPAN + F.col("finding_no"))
+        found = mine(found).withColumn("id", id_of(F.lit(scan_id), F.col("finding_no")))
         prior = self.findings().where((F.col("project_id") == project_id) & (F.col("scan_id") < scan_id))
-        self.append("findings", carry_status(found, prior))
+        self.append("findings", carry_status(found, prior, F.struct("scan_id", "id")))
         score = durable(C.scores(found, methods, info["project_type"]))
         self.append("scores", mine(score))
 
@@ -300,11 +312,16 @@ class Store:
 
     def finding(self, finding_id: int) -> dict | None:
         """A finding with its latest recommendation and run, or None."""
-        scan_id = finding_id // ID_SPAN
-        f = self.findings().where((F.col("scan_id") == scan_id) & (F.col("id") == finding_id)).first()
+        scan_id = scan_of(finding_id)
+        mine = self.findings().where((F.col("scan_id") == scan_id) & (F.col("id") == finding_id))
+        f = mine.first()
         if f is None:
             return None
-        same = (F.col("scan_id") == scan_id) & (F.col("finding_no") == f["finding_no"])
-        rec = self.read("recommendations").where(same).first()
-        run = self.read("llm_runs").where(same).orderBy(F.desc("completed_at")).first()
-        return f.asDict(True) | {"recommendation": rec and rec.asDict(True), "llm_run": run and run.asDict(True)}
+
+        def latest(table: str, order: str) -> dict | None:
+            rows = self.read(table).where((F.col("scan_id") == scan_id) & (F.col("finding_no") == f["finding_no"])).withColumn("finding_id", F.lit(finding_id))
+            got = with_latest(mine.select("id"), rows, order, TABLES[table].fieldNames()).drop("id").first().asDict(True)
+            return got if got["scan_id"] is not None else None
+
+        # A finding has one recommendation in its scan.
+        return f.asDict(True) | {"recommendation": latest("recommendations", "finding_no"), "llm_run": latest("llm_runs", "completed_at")}
