@@ -85,10 +85,25 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, mod: int, par
     return some.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
+#: Bytes of an Arrow batch sent to a Python worker, and the setting that bounds them.
+BATCH_BYTES, _BATCH_SETTING = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_BYTES, unless it sets a bound of its own.
+
+    A batch is held several times over, by the executor and by the worker, and Spark's
+    own bounds (rows, and 64 MB) let it grow with the texts. Results do not depend on it.
+    """
+    if _BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def map_batches(
     df: DataFrame, columns: list, process: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
     """Run process over Arrow batches of the columns, on the executors."""
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
