@@ -88,3 +88,25 @@ def test_repeated_doc_ids_lose_no_group(spark):
     stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
     df = documents(spark, [(k, t, "en", "s", 1) for k, t in ((3, x), (5, x), (5, y), (None, y))])
     assert sorted((r.doc_id, r.text) for r in stage(spark, df, "").collect()) == [(3, x), (5, y)]
+
+
+def test_pairs_are_made_at_their_first_shared_value(spark):
+    """40 nodes that share 3 in 4 of 100 values: a pair shares about 56, and is made about once, also in parts."""
+    rng = random.Random(4)
+    rows = [(v, node, node) for node in range(40) for v in range(100) if rng.random() < 0.75]
+    mixed = spark.createDataFrame(rows, "v long, node long, root long").withColumn("count", F.count("*").over(jaccard.Window.partitionBy("v")))
+    points = spark.createDataFrame([(k, 500, *[0] * len(jaccard._POINT)) for k in range(40)], ", ".join(["node long", "n int", *(f"{o} long" for o in jaccard._POINT)]))
+    for part in (1000, 7):
+        made = [tuple(r) for r in jaccard._made(mixed, points, part).collect()]
+        assert set(made) == {(a, b) for a in range(40) for b in range(a + 1, 40)}
+        assert len(made) < 1.5 * len(set(made))
+
+
+def test_large_sets_of_finer_points_of_two_sizes(spark):
+    """Linked and unlinked sets on either side of a size from which the finer points double."""
+    words = [f"w{k}" for k in range(1035)]
+    rows = [(1, words[:1020]), (2, words), (3, ["a" if k % 20 == 0 else w for k, w in enumerate(words)]), (4, [f"v{w}" if k > 700 else w for k, w in enumerate(words)])]
+    sizes = [len(jaccard._fine(jaccard.shingles(jaccard.words_of(" ".join(w))))) for _, w in rows]
+    assert sizes[0] * 2 == sizes[1]
+    rows = [(k, " ".join(w), "en", "s", 1) for k, w in rows]
+    assert kept(documents(spark, rows)) == by_hand(rows) == ["1", "3", "4"]

@@ -17,9 +17,11 @@ Two ways propose pairs, and the sets themselves decide.
 
 The first round proposes the fingerprints' pairs and, for every shared value, each
 node with the value's smallest one, so that a large group costs a few pairs for each
-member. The second proposes all other pairs of a value's nodes that the first
-round's links leave in different components. Crowded values are dealt out in pairs of
-parts.
+member. The second does so again with SALTS other nodes of each value that the links so far leave in
+several components, for members too far from the smallest one. The third proposes all other pairs of
+a value's nodes that are still in different components. Crowded values are dealt out in pairs of
+parts. A pair may share hundreds of values; it is made at the first of them, and hardly ever again,
+because each row knows the LAST values before its own, and a pair that shares one of those was made there.
 
 A pair is only sent on if its sets' points allow a link: the values are counted in
 SEGMENTS segments by their lowest bits, modulo two, and the Manhattan distance of two
@@ -39,17 +41,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, durable, keep_marked, marks
 from .simhash import SEED, components, fold_bits, links
 
 WORDS, OVER, OF = 5, 4, 5
-#: Documents in the sample of the order, how often a value counts as frequent there, and how many such values are kept.
-SAMPLE, OFTEN, FREQUENT = 4000, 3, 200_000
+#: Documents in the sample of the order (at least; and one in SHARE), how often a value counts as frequent there, and how many such values are kept.
+SAMPLE, SHARE, OFTEN, FREQUENT = 4000, 20, 3, 200_000
 PART = 1000
-#: Segments in which values are counted modulo two, 64 to a long; sets of more values than SEGMENTS get finer ones, too.
+#: Further nodes of a value that its others are held against, and values before its own that a row knows.
+SALTS, LAST = 4, 4
+#: Segments in which values are counted modulo two, 64 to a long; sets of more values than SEGMENTS get finer ones, too, up to FINE.
 SEGMENTS, FINE = 512, 1 << 14
 #: Bits of the filter of nodes whose sets are checked; a clash only lets a further set through.
 _BITS = 1 << 24
@@ -109,12 +113,15 @@ _LONGS = pa.list_(pa.int64())
 
 
 def frequent_values(docs: DataFrame) -> np.ndarray:
-    """Values in OFTEN or more of about SAMPLE distinct texts, the most frequent first, sorted; at most FREQUENT."""
-    step = max(1, docs.count() // SAMPLE)
+    """Values in OFTEN or more of about SAMPLE distinct texts or one text in SHARE, sorted; at most FREQUENT, the most frequent ones.
+
+    The sample grows with docs, so that a value of a given number of documents does not pass for rare in a larger table.
+    """
+    step = min(SHARE, max(1, docs.count() // SAMPLE))
     some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).dropDuplicates(["text"])
     sets = _each_once(some, ["text"], lambda key, words, new, _: (key, shingles(words)) if new else None, pa.schema({"node": pa.int64(), "v": _LONGS}))
     often = sets.select(F.explode("v").alias("v")).groupBy("v").count().where(F.col("count") >= OFTEN)
-    return np.sort(often.orderBy(F.desc("count"), "v").limit(FREQUENT).toPandas()["v"].to_numpy("<i8"))
+    return np.sort(often.orderBy(F.desc("count"), "v").limit(FREQUENT).select("v").toArrow()["v"].to_numpy())
 
 
 _POINT = [f"o{k}" for k in range(SEGMENTS // 64)]
@@ -126,6 +133,24 @@ def point(values: np.ndarray, segments: int = SEGMENTS) -> list[int]:
     return np.packbits(counts & 1, bitorder="little").view("<i8").tolist()
 
 
+def _fine(values: np.ndarray) -> list[int]:
+    """The finer point of a large set: of twice as many segments as values or more, up to FINE; of a small set, none."""
+    return point(values, min(FINE, 1 << (2 * len(values) - 1).bit_length())) if len(values) > SEGMENTS else []
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """In how many segments two finer points differ; zero if one is missing. One of more segments is folded onto the other."""
+
+    def folded(x: Column, y: Column, n: Column) -> Column:
+        halves = F.zip_with(F.slice(x, 1, n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > F.size(y), halves).otherwise(x)
+
+    # The larger of two sets that may be linked has at most twice as many segments.
+    n = F.least(F.size(a), F.size(b))
+    bits = F.zip_with(folded(a, b, n), folded(b, a, n), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.when(n == 0, 0).otherwise(F.aggregate(bits, F.lit(0), lambda s, x: s + x))
+
+
 def _possible(left: str, right: str) -> Column:
     """Whether the sizes and the points of two sides allow a link."""
     apart = " + ".join(f"bit_count({left}.{o} ^ {right}.{o})" for o in _POINT)
@@ -134,34 +159,35 @@ def _possible(left: str, right: str) -> Column:
 
 
 def _filtered(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs (a, b) that points allow."""
+    """The pairs (a, b) that points allow; points with a root leave out pairs of one root."""
+    root = [c for c in ("root",) if c in points.columns]
     l, r = points.hint("merge").alias("l"), points.hint("merge").alias("r")
-    one = pairs.join(l, F.col("a") == F.col("l.node")).select("a", "b", F.struct("l.n", *[f"l.{o}" for o in _POINT]).alias("p"))
-    return one.join(r, F.col("b") == F.col("r.node")).where(_possible("p", "r")).select("a", "b")
+    one = pairs.join(l, F.col("a") == F.col("l.node")).select("a", "b", F.struct("l.n", *[f"l.{c}" for c in (*_POINT, *root)]).alias("p"))
+    both = one.join(r, F.col("b") == F.col("r.node")).where(_possible("p", "r"))
+    return (both.where("p.root != r.root") if root else both).select("a", "b")
 
 
 def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     at = F.explode(F.array(*[F.pmod(k, F.lit(_BITS)) for k in "ab"])).alias("at")
     # At most _BITS / 64 rows reach the driver.
-    bits = pairs.select(at).groupBy(F.floor(F.col("at") / 64).alias("k")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("w")).toPandas()
+    bits = pairs.select(at).groupBy(F.floor(F.col("at") / 64).alias("k")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("w")).toArrow()
     asked = np.zeros(_BITS // 64, "<i8")
-    asked[bits["k"].to_numpy("<i8")] = bits["w"].to_numpy("<i8")
+    asked[bits["k"].to_numpy()] = bits["w"].to_numpy()
 
     def make(key: int, words: list[bytes], new: bool, _: tuple) -> tuple | None:
         at = key % _BITS
         if not new or not int(asked[at // 64]) >> (at % 64) & 1:
             return None
         values = shingles(words)
-        return key, values, point(values, FINE) if len(values) > SEGMENTS else []
+        return key, values, _fine(values)
 
     # One exchange by node serves all joins below.
     made = _each_once(docs, ["text"], make, pa.schema({"node": pa.int64(), "v": _LONGS, "fine": _LONGS}))
     sets = made.groupBy("node").agg(F.first(F.struct("v", "fine")).alias("x")).select("node", "x.v", "x.fine")
     # Long sets are held apart by finer points before they move themselves.
     a, b = (sets.select(F.col("node").alias(k), F.size("v").alias(f"n{k}"), F.col("fine").alias(f"f{k}")) for k in "ab")
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = (F.size("fa") == 0) | (F.size("fb") == 0) | (apart * (OVER + OF) <= (F.col("na") + F.col("nb")) * (OF - OVER))
+    near = _apart(F.col("fa"), F.col("fb")) * (OVER + OF) <= (F.col("na") + F.col("nb")) * (OF - OVER)
     pairs = pairs.select("a", "b").join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(near)
     a, b = (sets.select(F.col("node").alias(k), F.col("v").alias(f"v{k}")) for k in "ab")
     both = pairs.select("a", "b").join(a.hint("merge"), "a").join(b.hint("merge"), "b")
@@ -169,24 +195,40 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(common * (OVER + OF) >= total * OVER).select("a", "b")
 
 
-def _pairs(shared: DataFrame, points: DataFrame, part: int) -> DataFrame:
-    """(a, b), a < b: possible pairs of a value's nodes with different roots, crowded values dealt out in parts.
+def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(v, node, root, count): the rows of shared (v, node) whose value is met in several components, with its number of nodes."""
+    placed = shared.select("v", "node").join(roots.hint("merge"), "node", "left").select("v", "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("count")).where("lo < hi")
+    return placed.join(mixed.select("v", "count").hint("merge"), "v")
+
+
+def _salted(mixed: DataFrame) -> DataFrame:
+    """(a, b), a < b: each node of a value with SALTS others, the same ones for as many values as possible."""
+    stars = mixed.groupBy("v").agg(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(SALTS)]).alias("stars"))
+    pairs = mixed.join(stars.hint("merge"), "v").select("node", F.explode("stars").alias("star")).where("node != star")
+    return pairs.select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b")).distinct()
 
-    shared has v, node and root.
+
+def _made(mixed: DataFrame, points: DataFrame, part: int) -> DataFrame:
+    """(a, b), a < b, a few of them repeated: possible pairs of a value's nodes with different roots, crowded values dealt out in parts.
+
+    A pair's first shared value makes it. The rows of others know LAST values of their node before their own
+    and make it again only if the pair shares none of those.
     """
-    mixed = shared.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("count")).where("lo < hi")
     parts = F.ceil(F.col("count") / F.lit(part)).cast("int")
-    some = shared.join(mixed.select("v", parts.alias("parts")), "v").join(points.hint("merge"), "node")
+    before = Window.partitionBy("node").orderBy("v").rowsBetween(-LAST, -1)
+    some = mixed.select("v", "node", "root", parts.alias("parts"), F.collect_list("v").over(before).alias("before")).join(points.hint("merge"), "node")
     dealt = some.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("v", "node", "n", "root", *_POINT, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    dealt = dealt.select("v", "node", "n", "root", "before", *_POINT, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     left, right = dealt.alias("l"), dealt.alias("r")
     cond = F.lit(True)
     for k in ("v", "i", "j"):
         cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
     cond = cond & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root"))
     cond = cond & ((F.col("l.i") == F.col("l.j")) | (F.col("l.own") != F.col("r.own"))) & _possible("l", "r")
-    return left.join(right, cond).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    cond = cond & ~F.arrays_overlap("l.before", "r.before")
+    return left.join(right, cond).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
 
 
 def _by_fingerprint(points: DataFrame) -> DataFrame:
@@ -232,9 +274,13 @@ def grouped(docs: DataFrame, part: int = PART) -> DataFrame:
     tried = durable(_filtered(stars.union(_by_fingerprint(points)).distinct(), points))
     first = durable(_linked(docs, tried))
     roots = components(first)
-    placed = shared.select("v", "node").join(roots.hint("merge"), "node", "left").select("v", "node", F.coalesce("root", "node").alias("root"))
-    rest = durable(_pairs(durable(placed), points.select("node", "n", *_POINT), part).join(tried, ["a", "b"], "left_anti"))
-    found = components(first.union(_linked(docs, rest)))
+    mixed = durable(_mixed(shared, roots))
+    placed = points.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    again = durable(_filtered(_salted(mixed), placed).join(tried, ["a", "b"], "left_anti"))
+    second = durable(first.union(_linked(docs, again)))
+    mixed = durable(_mixed(mixed, components(second)))
+    rest = _made(mixed, points.select("node", "n", *_POINT), part).distinct().join(tried.union(again), ["a", "b"], "left_anti")
+    found = components(second.union(_linked(docs, durable(rest))))
     named = rows.select("doc_id", "mark", "mark2", "node").join(found.hint("merge"), "node", "left")
     return named.select("doc_id", "mark", "mark2", "node", F.coalesce("root", "node").alias("root"))
 
