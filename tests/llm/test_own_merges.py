@@ -46,3 +46,27 @@ def test_every_character_class():
     for start in range(0, len(text), 200_000):
         t = "a".join(text[start : start + 200_000 : 7])
         assert c.encode(t) == LIBRARY.encode_ordinary(t)
+
+
+def test_recurring_matches_outlive_a_full_cache(monkeypatch):
+    """Words of every batch are merged once, however many others a batch brings."""
+    monkeypatch.setattr(bpe, "CACHE", 300)
+    rng, c, merged = random.Random(5), codec(), []
+    merge_all = c.merge_all
+    c.merge_all = lambda pieces: merged.extend(pieces) or merge_all(pieces)
+    words = lambda n: [" " + "".join(rng.choice("bdfghkqxz") for _ in range(9)) for _ in range(n)]
+    often = words(100)
+    for _ in range(6):
+        text = "".join(often + words(150))
+        assert c.encode_all([text]) == [LIBRARY.encode_ordinary(text)]
+        assert len(c._seen) <= 300 and len(c._old) <= 300
+    assert all(merged.count(w.encode()) == 1 for w in often)
+
+
+def test_halves_that_meet_at_a_hard_boundary_need_no_window():
+    c, windows = codec(), []
+    plain = c._plain
+    c._plain = lambda pieces: windows.append(pieces) or plain(pieces)
+    text = "Some words, 12 numbers; and marks! " * 60
+    assert c.encode(text) == LIBRARY.encode_ordinary(text)
+    assert sum(len("".join(p)) for p in windows) == len(text)

@@ -2,9 +2,10 @@
 
 A text is halved until a part has at most LEAF characters; a leaf is
 split by the pattern (by classes of characters or the expression itself) and each match merged by rank, without any tokenizer library.
-Matches met before come from a bounded cache; those new in a batch of texts are merged
+Matches met before come from a bounded cache of two generations; those new in a batch of texts are merged
 together, by arrays, before the trees are built. Halves meet at a hard boundary near the
-middle where there is one, so that seams seldom cut a word. Two neighbours are joined by encoding a window around the seam anew and
+middle where there is one, so that seams seldom cut a word; such neighbours are simply put together.
+Others are joined by encoding a window around the seam anew and
 growing it on both sides until the tokens outside provably stay as they are.
 Either of two facts proves a side:
 
@@ -34,6 +35,7 @@ import base64
 import functools
 import hashlib
 import heapq
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
@@ -46,7 +48,7 @@ from pyspark.sql import functions as F
 from .common import batch_of, map_batches, row_type, slices, whole_rows
 
 LEAF, SPAN = 256, 512
-#: Matches of up to SHORT characters are kept, CACHE of them a process; the bytes from which merges use a heap.
+#: Matches of up to SHORT characters are kept, CACHE of them in each of two generations a process; the bytes from which merges use a heap.
 SHORT, CACHE, HEAP = 32, 100_000, 200
 _NONE = 1 << 60
 
@@ -117,7 +119,10 @@ class TreeCodec:
         for b, i in ranks.items():
             self._bytes[i] = b
         self._ranks = ranks
-        self._seen: dict[str, Sequence[int]] = {}
+        # Tokens of matches as bytes of 32-bit numbers: those met since the last turn, and those of the turn before.
+        self._seen: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._names = [str(i) for i in range(len(self._bytes))]
         # Every way to make a token of two others, as sorted keys with the tokens made.
         made = sorted(
             (ranks[b[:k]] << 32 | ranks[b[k:]], i) for b, i in ranks.items() for k in range(1, len(b)) if b[:k] in ranks and b[k:] in ranks)
@@ -197,17 +202,24 @@ class TreeCodec:
         return out
 
     def _learn(self, found: set[str]) -> None:
-        """Merge the short matches that are not in the cache, all together."""
-        seen = self._seen
-        if len(seen) + len(found) > CACHE:
-            seen.clear()
-        new = sorted((p for p in found if p not in seen and len(p) <= SHORT), key=len)
-        for start in range(0, min(len(new), CACHE), 4096):
-            part = new[start : start + 4096]
+        """Merge the short matches that are not in the cache, all together.
+
+        A full generation becomes the old one. What is met again comes back from there, so
+        that words that recur stay and those of a single text go.
+        """
+        new = found.difference(self._seen)
+        if len(self._seen) + len(new) > CACHE and self._seen:
+            self._old, self._seen = self._seen, {}
+            new = found
+        seen, old = self._seen, self._old
+        seen.update((p, old[p]) for p in new.intersection(old))
+        fresh = sorted((p for p in new.difference(old) if len(p) <= SHORT), key=len)
+        for start in range(0, min(len(fresh), CACHE), 4096):
+            part = fresh[start : start + 4096]
             raw = [p.encode() for p in part]
             for p, b, ids in zip(part, raw, self.merge_all(raw)):
                 # A piece that is a token of its own is that token, whatever its merges give.
-                seen[p] = [self._ranks[b]] if b in self._ranks else ids
+                seen[p] = array("i", [self._ranks[b]] if b in self._ranks else ids).tobytes()
 
     def _merge_long(self, piece: bytes) -> list[int]:
         """The same with a heap of pairs over a linked list of parts; a stale pair no longer has its rank."""
@@ -236,18 +248,20 @@ class TreeCodec:
 
     def _plain(self, pieces: list[str]) -> list[int]:
         """Tokens of a leaf's or a window's matches, each merged by itself."""
-        out: list[int] = []
-        seen = self._seen
-        for piece in pieces:
-            ids = seen.get(piece)
-            if ids is None:
-                ids = self._merge(piece.encode())
-                if len(piece) <= SHORT:
-                    if len(seen) >= CACHE:
-                        seen.clear()
-                    seen[piece] = ids
-            out += ids
-        return out
+        try:
+            raw = b"".join(map(self._seen.__getitem__, pieces))
+        except KeyError:  # a long match, one that a window made, or more matches in a batch than the cache holds
+            raw = b"".join(map(self._piece, pieces))
+        return array("i", raw).tolist()
+
+    def _piece(self, piece: str) -> bytes:
+        """Tokens of one match."""
+        ids = self._seen.get(piece)
+        if ids is None:
+            ids = array("i", self._merge(piece.encode())).tobytes()
+            if len(piece) <= SHORT and len(self._seen) < CACHE:
+                self._seen[piece] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
@@ -259,7 +273,7 @@ class TreeCodec:
             leaves: list[list[str]] = []
             bounds = boundaries(text) if text else ([], [0])
             trees.append((text, bounds, leaves, self._split(text, bounds, 0, len(text), leaves)))
-        self._learn({p for _, _, leaves, _ in trees for leaf in leaves for p in leaf})
+        self._learn(set().union(*[leaf for _, _, leaves, _ in trees for leaf in leaves]))
         return [self._up(text, bounds, leaves, tree)[0] for text, bounds, leaves, tree in trees]
 
     def _matches(self, text: str, bounds: tuple, start: int, end: int) -> list[str]:
@@ -301,6 +315,9 @@ class TreeCodec:
 
     def _join(self, text: str, bounds: tuple, start: int, mid: int, end: int, left: list[int], right: list[int]) -> list[int]:
         reach, hard = 16, bounds[0]
+        if self._is_hard(hard, mid, len(text)):
+            # A match ends here whatever stands on either side, so both sides are encoded already.
+            return left + right
         while True:
             lo, hi = max(start, mid - reach), min(end, mid + reach)
             # A boundary needs its two characters on one side of the seam, so that side ends alike there.
@@ -359,6 +376,10 @@ class TreeCodec:
         """
         return "'" not in run and not self._later.search(run) and regex.fullmatch(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+", run) is not None
 
+    def listed(self, ids: Sequence[int]) -> str:
+        """The tokens as decimal numbers, joined by commas."""
+        return ",".join(map(self._names.__getitem__, ids))
+
     # -- decoding
 
     def decode(self, ids: Sequence[int]) -> bytes:
@@ -413,7 +434,7 @@ def token_digest(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pat
         for part in slices(batch, "text", 1 << 21):
             texts, rows = part.column(1).to_pylist(), []
             for key, ids in zip(part.column(0).to_pylist(), c.encode_all([t or "" for t in texts])):
-                rows.append((key, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
+                rows.append((key, len(ids), hashlib.sha256(c.listed(ids).encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
             yield batch_of(dict(zip(types, list(zip(*rows)) or [[]] * len(types))), types)
 
     return map_batches(df, [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")], process,
