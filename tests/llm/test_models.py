@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -202,3 +203,23 @@ def test_pairwise_score_equals_a_double_loop():
             for l in range(k):
                 z += fm.v[at[k]] @ fm.v[at[l]] * x[k] * x[l]
         assert got == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_fit_holds_few_factors_of_positions_at_once():
+    """The sample's positions times factors don't fit beside the driver's JVM; the weights are those of all at once."""
+    rng = np.random.default_rng(5)
+    docs = [(list(range(k % 7, 2000, 11)), [1.0 + k % 3] * len(range(k % 7, 2000, 11))) for k in range(2000)]
+    labels, chosen = rng.integers(0, 2, len(docs)).tolist(), np.arange(0, 2000, 2)
+    tracemalloc.start()
+    fm = toxicity.fit(chosen, docs, labels, epochs=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows = [fm.positions(*d) for d in docs]
+    assert peak < 24 * sum(len(at) for at, _ in rows) * toxicity.FACTORS
+    whole = toxicity.fit(chosen, docs, labels, epochs=2)
+    block, toxicity._BLOCK = toxicity._BLOCK, 1 << 40
+    try:
+        once = toxicity.fit(chosen, docs, labels, epochs=2)
+    finally:
+        toxicity._BLOCK = block
+    assert once.w0 == whole.w0 and (once.w == whole.w).all() and (once.v == whole.v).all()

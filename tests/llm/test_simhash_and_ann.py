@@ -5,6 +5,7 @@ import pytest
 
 from tests.llm.docs import AWKWARD, documents, text
 from tracewell.llm import ann, simhash
+from tracewell.llm.common import durable
 
 
 def by_hand(rows):
@@ -94,6 +95,19 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200}
 
 
+def test_stars_need_no_rounds(spark, monkeypatch):
+    """Written edges are the driver's tasks and plans: one for those given, and one for each round that changes them."""
+    written = []
+    monkeypatch.setattr(simhash, "durable", lambda df: written.append(1) or durable(df))
+    rng = random.Random(3)
+    stars = [(k, k + 1 + i) for k in range(0, 1000, 100) for i in range(rng.randint(1, 60))]
+    for edges, more in ((stars, 0), (stars + stars, 0), (stars[:0], 0), ([*stars, (0, 90), (90, 190)], 1)):
+        written.clear()
+        got = sorted((r.node, r.root) for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect())
+        want = {n: n // 100 * 100 for e in edges for n in e} | ({190: 0} if more else {})
+        assert got == sorted(want.items()) and (len(written) > 1) == bool(more)
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = near_copies() + [(None, "alone in the world without an id", "en", "s", 1), (None, "alone in the world without an id", "en", "s", 1)]
     df = documents(spark, rows)

@@ -240,6 +240,11 @@ def _by_fingerprint(points: DataFrame) -> DataFrame:
     return same.union(near.select(F.least("x.least", "y.least").alias("a"), F.greatest("x.least", "y.least").alias("b")))
 
 
+def _stars(roots: DataFrame) -> DataFrame:
+    """(a, b): links that say what roots (node, root) say; with further ones they need fewer rounds than the links they come from."""
+    return roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """(v, node, least): values that several nodes have, with the smallest of them."""
 
@@ -272,15 +277,14 @@ def grouped(docs: DataFrame, part: int = PART) -> DataFrame:
     shared = durable(_shared(rows.where("n > 0")))
     stars = shared.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
     tried = durable(_filtered(stars.union(_by_fingerprint(points)).distinct(), points))
-    first = durable(_linked(docs, tried))
-    roots = components(first)
+    roots = components(_linked(docs, tried))
     mixed = durable(_mixed(shared, roots))
     placed = points.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     again = durable(_filtered(_salted(mixed), placed).join(tried, ["a", "b"], "left_anti"))
-    second = durable(first.union(_linked(docs, again)))
-    mixed = durable(_mixed(mixed, components(second)))
+    roots = components(_stars(roots).union(_linked(docs, again)))
+    mixed = durable(_mixed(mixed, roots))
     rest = _made(mixed, points.select("node", "n", *_POINT), part).distinct().join(tried.union(again), ["a", "b"], "left_anti")
-    found = components(second.union(_linked(docs, durable(rest))))
+    found = components(_stars(roots).union(_linked(docs, durable(rest))))
     named = rows.select("doc_id", "mark", "mark2", "node").join(found.hint("merge"), "node", "left")
     return named.select("doc_id", "mark", "mark2", "node", F.coalesce("root", "node").alias("root"))
 

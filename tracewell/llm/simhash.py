@@ -171,16 +171,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge (a, b).
 
     Large-star links each node's larger neighbours to its smallest, small-star its
-    smaller ones; the rounds end when the edges no longer change. Each round is
-    written to the shared checkpoint folder.
+    smaller ones; the rounds end when the edges are stars around smallest nodes, which
+    is tested before each. Each round is written to the shared checkpoint folder.
     """
     def smallest(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"))
 
     def large_star(e: DataFrame) -> DataFrame:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = smallest(both).select("u", F.least("u", "m").alias("m"))
-        moved = both.where(F.col("v") > F.col("u")).join(least, "u")
+        # Both directions come of one pass: a union would double the tasks.
+        ends = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = smallest(e.select(F.inline(ends))).select("u", F.least("u", "m").alias("m"))
+        moved = e.select(F.col("a").alias("u"), F.col("b").alias("v")).join(least, "u")
         return moved.select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
 
     def small_star(e: DataFrame) -> DataFrame:
@@ -189,19 +190,17 @@ def components(edges: DataFrame) -> DataFrame:
         moved = down.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b")
         return moved.union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.hash("b", "a", F.lit(1)).cast("long"))).first())
+    def are_stars(e: DataFrame) -> bool:
+        # A node with a smaller neighbour has no other.
+        ends = F.array(F.struct(F.col("a").alias("u"), F.lit(0).alias("larger")), F.struct(F.col("b").alias("u"), F.lit(1).alias("larger")))
+        between = e.select(F.inline(ends)).groupBy("u").agg(F.sum("larger").alias("smaller"), F.count("*").alias("n")).where("smaller > 0 AND n > 1")
+        return not between.agg(F.count("*")).first()[0]
 
     edges = durable(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    before = mark(edges)
-    while before[0]:
+    while not are_stars(edges):
         edges = durable(small_star(large_star(edges)))
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
     roots = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    return roots.union(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
+    return roots.union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
 def _by_root(points: DataFrame) -> DataFrame:

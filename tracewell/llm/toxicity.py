@@ -42,6 +42,7 @@ _WORD = re.compile(r"\w+")
 
 PREFIXES = (4, 5, 6, 7)
 _CACHE = 50_000
+_BLOCK = 1 << 15
 
 
 def word_buckets(word: str) -> list[int]:
@@ -126,6 +127,9 @@ def fit(chosen: np.ndarray, docs: list[tuple[list[int], list[float]]], labels: l
     counts = np.array([len(rows[k][0]) for k in full])
     starts = np.cumsum(counts) - counts
     owner = np.repeat(np.arange(len(full)), counts)
+    # Documents of about _BLOCK positions at a time: of a factor for each position, only so many are held at once.
+    cuts = [0, *(np.flatnonzero(np.diff(starts // _BLOCK)) + 1).tolist(), len(full)]
+    s, pairs = np.empty((len(full), factors)), np.empty(len(full))
     # Adam over the whole sample; l2 keeps the weights of rare terms small.
     state = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in (("b", np.zeros(1)), ("w", fm.w), ("v", fm.v))}
 
@@ -136,17 +140,19 @@ def fit(chosen: np.ndarray, docs: list[tuple[list[int], list[float]]], labels: l
         return rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
 
     for t in range(1, epochs + 1):
-        vx = fm.v[flat] * x[:, None]
-        s = np.add.reduceat(vx, starts)
+        for lo, hi in zip(cuts, cuts[1:]):
+            at = slice(starts[lo], starts[hi] if hi < len(full) else len(flat))
+            vx = fm.v[flat[at]] * x[at, None]
+            s[lo:hi] = np.add.reduceat(vx, starts[lo:hi] - starts[lo])
+            pairs[lo:hi] = 0.5 * (s[lo:hi] * s[lo:hi] - np.add.reduceat(vx * vx, starts[lo:hi] - starts[lo])).sum(axis=1)
         z = np.full(len(y), fm.w0)
-        z[full] += np.add.reduceat(fm.w[flat] * x, starts) + 0.5 * (s * s - np.add.reduceat(vx * vx, starts)).sum(axis=1)
+        z[full] += np.add.reduceat(fm.w[flat] * x, starts) + pairs
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
         e = err[full][owner] * x
         gw = np.bincount(flat, weights=e, minlength=len(chosen)) + 1e-5 * fm.w
         gv = np.empty_like(fm.v)
-        diff = e[:, None] * (s[owner] - vx)
         for f in range(factors):
-            gv[:, f] = np.bincount(flat, weights=diff[:, f], minlength=len(chosen))
+            gv[:, f] = np.bincount(flat, weights=e * (s[owner, f] - fm.v[flat, f] * x), minlength=len(chosen))
         fm.w0 -= float(step("b", np.array([err.sum()]), 0.05, t)[0])
         fm.w = fm.w - step("w", gw, 0.1, t)
         fm.v = fm.v - step("v", gv + 1e-4 * fm.v, 0.02, t)
