@@ -19,7 +19,7 @@ from tracewell.functions import text as T
 from tracewell.operators import contract, detect, store
 from tracewell.plans import taxonomy
 from tracewell.plans.scan import Analysis, analyse
-from tracewell.sources.corpus import rendered_corpus
+from tracewell.sources.corpus import dealt, rendered_corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(taxonomy.QUERIES)
 ORACLES: dict[str, str] = dict(taxonomy.ORACLES)
@@ -402,8 +402,7 @@ def flow_closure(spark, sf_dir):
 
 def _corpus(spark: SparkSession, sf_dir: str) -> Analysis:
     """The analysis of the classes rendered from part; the small rows are dealt out before they become text."""
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return analyse(rendered_corpus(_read(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(n, "p_partkey")))
+    return analyse(rendered_corpus(dealt(_read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")))
 
 
 #: Per class: d the distance, the lines of its places, and what its attributes imply.

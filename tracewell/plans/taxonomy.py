@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
 from tracewell.plans.scan import Analysis, analyse
+from tracewell.sources.corpus import dealt
 
 HEAD = "package a.b;\nimport org.apache.spark.sql.*;\n"
 
@@ -79,7 +80,7 @@ def _corpus(spark: SparkSession, sf_dir: str, cases: list[tuple[str, str]]) -> A
     """A file for each part: the case of the remainder of its key."""
     k = (F.col("p_partkey") % len(cases)).cast("int")
     pick = lambda i: F.get(F.array(*[F.lit(c[i]) for c in cases]), k)
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    parts = dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), "p_partkey")
     return analyse(parts.select(F.concat(pick(0), F.lit("/P"), F.col("p_partkey").cast("string"), F.lit(".java")).alias("path"), pick(1).alias("content")))
 
 

@@ -90,6 +90,12 @@ def project_info(sources: DataFrame, build: DataFrame, name: str, root: str) ->
         spark_version.alias("spark_version"), logging.alias("logging_frameworks"), "java_files", "test_files")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Small rows dealt out before they become text, so that a table of one file is not one task's work."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 #: What the rendered class of a part does, by p_partkey % 6; the last is plain Java.
 CALLS = ('in.join(other, "k")', 'in.filter("x > 1")', 'in.dropDuplicates("id")', 'in.orderBy("id")', 'in.withColumn("c", other)',
          "names.stream().filter(x -> true).distinct().toList()")
