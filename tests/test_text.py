@@ -39,3 +39,10 @@ def test_places_are_those_of_a_regex_iterator(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.places("t", r"a+\.?").alias("p"))
     for r in df.collect():
         assert [(p.at, p.line) for p in r.p] == [(m.start(), r.t.count("\n", 0, m.start())) for m in re.finditer(r"a+\.?", r.t)]
+
+
+def test_needed_texts_are_in_every_match():
+    assert T.needed(r"(?U)\.\s*join\s*\(|\.\s*crossJoin\s*\(") == ("join", "crossJoin")
+    assert T.needed(r"\bthrow\s+new\b|\bthrow\s+\w+\s*;") == ("throw",)
+    assert T.needed(r"\b(?:Kafka|Jms)Template\b\s*\.\s*\w+\s*\(") == ("Template",)
+    assert T.needed(r"(?:ab|c)?x*") == () and T.needed(r"(?i)abc") == () and T.needed(r"(?i:abc)") == () and T.needed(r"ab|[cd]") == ()

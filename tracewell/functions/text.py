@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import cache
+from re import _constants as R  # the parse tree of patterns, for needed()
+from re import _parser
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell import patterns as P
 
 #: Python's str.strip() and Java's trim differ; these are the characters both sources know.
-SPACE = r"[\s\u001c-\u001f\u0085 ]"
+SPACE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
 
 
 def unicode(pattern: str) -> str:
@@ -21,7 +25,7 @@ def extract(c: str | Column, pattern: Column, group: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, F.lit(rf"\A{SPACE}+|{SPACE}+\z"), F.lit(""))
+    return F.btrim(c, F.lit(SPACE))
 
 
 def newlines(c: Column) -> Column:
@@ -31,8 +35,9 @@ def newlines(c: Column) -> Column:
 
 def mask_literals(c: Column) -> Column:
     """c with comments and literals blanked, at the same length and with the same lines."""
-    blank = F.transform(F.regexp_extract_all(c, F.lit(P.LITERALS), F.lit(0)), lambda m: F.regexp_replace(m, F.lit(r"[^\n]"), F.lit(" ")))
-    return F.array_join(F.zip_with(F.split(c, P.LITERALS, -1), blank, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    literals = f"(?=[/\"'])(?:{P.LITERALS})"  # a look at one character spares most places the alternatives
+    blank = F.transform(F.regexp_extract_all(c, F.lit(literals), F.lit(0)), lambda m: F.regexp_replace(m, F.lit(r"[^\n]"), F.lit(" ")))
+    return F.array_join(F.zip_with(F.split(c, literals, -1), blank, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 PLACES = "array<struct<at:int,line:int,part:string>>"
@@ -45,11 +50,47 @@ def raw(pattern: str) -> str:
     return f"r'{pattern}'"
 
 
+@cache
+def needed(pattern: str) -> tuple[str, ...]:
+    """Texts of which every match of pattern holds one, or () if none can be told."""
+    try:
+        tree = _parser.parse(pattern.removeprefix("(?U)").replace(r"\z", r"\Z"))
+    except _parser.error:  # what only Java reads
+        return ()
+    return () if tree.state.flags & R.SRE_FLAG_IGNORECASE else _needed(tree)
+
+
+def _needed(tree) -> tuple[str, ...]:
+    options, run = [], ""
+    for op, arg in [*tree, (None, None)]:
+        if op is R.LITERAL:
+            run += chr(arg)
+            continue
+        if run:
+            options.append((run,))
+            run = ""
+        if op is R.SUBPATTERN and not arg[1]:
+            options.append(_needed(arg[3]))
+        elif op in (R.MAX_REPEAT, R.MIN_REPEAT, R.POSSESSIVE_REPEAT) and arg[0] > 0:
+            options.append(_needed(arg[2]))
+        elif op is R.BRANCH:
+            each = [_needed(b) for b in arg[1]]
+            options.append(tuple(w for words in each for w in words) if all(each) else ())
+    best = max(options, key=lambda words: min(map(len, words), default=0), default=())
+    return tuple(w for w in dict.fromkeys(best) if not any(v != w and v in w for v in best))
+
+
+def may_match(c: str, pattern: str) -> str:
+    """SQL: whether c holds a text that every match of pattern needs; plain searches cost a fraction of the pattern's."""
+    return "({})".format(" OR ".join(f"contains({c}, {raw(w)})" for w in needed(pattern)) or "true")
+
+
 def places_sql(c: str, pattern: str) -> str:
     """SQL: all matches of pattern in c, leftmost first and without overlap: array of (at, line, part).
 
     at counts characters from 0 and line line feeds before it; part is the text
-    from the match to the next one. Texts without a match cost one search.
+    from the match to the next one. Texts without what a match needs cost plain
+    searches, and others without a match one search more.
     """
     rx = raw(pattern)
     # Gaps and matches are paired, so no character of the text can be taken for a mark.
@@ -61,7 +102,7 @@ def places_sql(c: str, pattern: str) -> str:
             'out', concat(s.out, array(named_struct('at', s.at, 'line', s.line, 'part', p)))),
         s -> slice(s.out, 2, size(s.out)))"""
     # The first part lies before any match, so it is left out.
-    return f"CASE WHEN {c} RLIKE {rx} THEN {fold} ELSE CAST(array() AS {PLACES}) END"
+    return f"CASE WHEN {may_match(c, pattern)} AND {c} RLIKE {rx} THEN {fold} ELSE CAST(array() AS {PLACES}) END"
 
 
 def places(column: str, pattern: str) -> Column:
@@ -79,7 +120,10 @@ def closing(c: Column, pair: str) -> Column:
         ends = (s["done"] < 0) & F.startswith(part, F.lit(close)) & (depth == 0)
         return F.struct(depth.alias("depth"), (s["at"] + F.char_length(part)).alias("at"), F.when(ends, s["at"]).otherwise(s["done"]).alias("done"))
 
-    return F.aggregate(parts, start, step, lambda s: F.when(s["done"] >= 0, s["done"]).otherwise(F.char_length(c) - 1))
+    folded = F.aggregate(parts, start, step, lambda s: F.when(s["done"] >= 0, s["done"]).otherwise(F.char_length(c) - 1))
+    # Where no other opening character comes before the first closing one, that one closes.
+    first, inner = F.locate(close, c), F.locate(open_, c, 2)
+    return F.when((first > 0) & ((inner == 0) | (inner > first)), first - 1).otherwise(folded)
 
 
 def snippet(body: Column, line: Column, most: int = 240) -> Column:

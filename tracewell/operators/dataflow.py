@@ -20,8 +20,8 @@ from tracewell.functions import text as T
 _STMT = "array<struct<at:int,text:string>>"
 
 
-def statements(masked: Column) -> Column:
-    """Statements of a method body: array of (line from 0, lhs or null, refs, has_action)."""
+def statements(masked: Column, acts: Column) -> Column:
+    """Statements of a method body: array of (line from 0, text, has_action); acts says whether the body holds an action at all."""
     parts = F.split(masked, r"(?=[(){};])", -1)
     start = F.struct(F.lit(0).alias("round"), F.lit(0).alias("brace"), F.lit(0).alias("at"), F.lit(0).alias("line"), F.lit(0).alias("from"),
                      F.lit("").alias("text"), F.array().cast("array<struct<line:int,text:string>>").alias("out"))
@@ -40,21 +40,31 @@ def statements(masked: Column) -> Column:
     pieces = F.aggregate(parts, start, step, lambda s: F.concat(s["out"], F.array(F.struct(s["from"].alias("line"), s["text"].alias("text")))))
 
     def trimmed(x: Column) -> Column:
-        text = F.regexp_replace(x["text"], F.lit(r"\A[ \t\r\n{}]+"), F.lit(""))
+        text = F.ltrim(x["text"], F.lit(" \t\r\n{}"))
         skipped = F.left(x["text"], F.char_length(x["text"]) - F.char_length(text))
-        return F.struct((x["line"] + T.newlines(skipped)).alias("line"), T.strip(F.regexp_replace(T.strip(text), F.lit(r"\A[{}]+"), F.lit(""))).alias("text"))
+        return F.struct((x["line"] + T.newlines(skipped)).alias("line"), T.strip(F.ltrim(T.strip(text), F.lit("{}"))).alias("text"))
 
     def read(x: Column) -> Column:
-        lhs = T.extract(x["text"], F.lit(T.unicode(P.ASSIGNMENT)), F.lit(1))
-        rhs = F.when(lhs != "", T.extract(x["text"], F.lit(T.unicode(P.ASSIGNMENT)), F.lit(2))).otherwise(x["text"])
-        return F.struct(
-            x["line"].alias("line"), F.when(lhs != "", lhs).alias("lhs"),
-            F.array_distinct(F.regexp_extract_all(rhs, F.lit(T.unicode(P.IDENTIFIER)), F.lit(0))).alias("refs"),
-            F.rlike(x["text"], F.lit(T.unicode(P.ACTION))).alias("has_action"))
+        return F.struct(x["line"].alias("line"), x["text"].alias("text"), F.when(acts, F.rlike(x["text"], F.lit(T.unicode(P.ACTION)))).otherwise(False).alias("has_action"))
 
     return F.transform(F.filter(F.transform(pieces, trimmed), lambda x: x["text"] != ""), read)
 
 
+def assignments(stmts: Column) -> Column:
+    """Statements as nodes of a graph: array of (line, lhs or null, refs, has_action)."""
+    def read(x: Column) -> Column:
+        lhs = F.when(F.contains(x["text"], F.lit("=")), T.extract(x["text"], F.lit(T.unicode(P.ASSIGNMENT)), F.lit(1))).otherwise("")
+        return F.struct(x["line"].alias("line"), lhs.alias("lhs"), x["text"].alias("text"), x["has_action"].alias("has_action"))
+
+    def node(x: Column) -> Column:
+        rhs = F.when(x["lhs"] != "", T.extract(x["text"], F.lit(T.unicode(P.ASSIGNMENT)), F.lit(2))).otherwise(x["text"])
+        return F.struct(
+            x["line"].alias("line"), F.nullif(x["lhs"], F.lit("")).alias("lhs"),
+            F.array_distinct(F.regexp_extract_all(rhs, F.lit(T.unicode(P.IDENTIFIER)), F.lit(0))).alias("refs"), x["has_action"].alias("has_action"))
+
+    return F.transform(F.transform(stmts, read), node)
+
+
 def reached(stmts: list) -> list[tuple[int, int]]:
     """(line, least line of an action that its value reaches) for the lines that reach one.
 
@@ -93,9 +103,10 @@ _reached = _reached_of.asNondeterministic()
 
 def annotated(df: DataFrame) -> DataFrame:
     """df whose ops also have is_action, lazy and materialized_at."""
-    df = df.withColumn("stmts", F.when(F.exists("ops", lambda o: ~o["is_io"]), statements(F.col("masked_body"))))
-    # Only statements that matter cross to Python.
-    df = df.withColumn("_graph", F.when(F.exists("stmts", lambda s: s["has_action"]), F.col("stmts")))
+    df = df.withColumn("_acts", F.expr(T.may_match("masked_body", P.ACTION)) & F.rlike("masked_body", F.lit(T.unicode(P.ACTION))))
+    df = df.withColumn("stmts", F.when(F.exists("ops", lambda o: ~o["is_io"]), statements(F.col("masked_body"), F.col("_acts"))))
+    # Only statements that matter are read further and cross to Python.
+    df = df.withColumn("_graph", F.when(F.exists("stmts", lambda s: s["has_action"]), assignments(F.col("stmts"))))
     df = df.withColumn("_reach", _reached("_graph"))
 
     def place(o: Column) -> Column:
@@ -111,4 +122,4 @@ def annotated(df: DataFrame) -> DataFrame:
             is_action.alias("is_action"), F.coalesce(lazy, F.lit(False)).alias("lazy"),
             F.when(is_action, o["line"]).when(lazy, F.col("body_line") + F.when(host["has_action"], line).otherwise(at)).alias("materialized_at"))
 
-    return df.withColumn("ops", F.transform("ops", place)).drop("_graph", "_reach", "stmts")
+    return df.withColumn("ops", F.transform("ops", place)).drop("_acts", "_graph", "_reach", "stmts")

@@ -69,21 +69,29 @@ def with_logs(df: DataFrame) -> DataFrame:
     call = T.unicode(P.LOGGER_CALL)
     levels = F.create_map(*[F.lit(x) for kv in P.LEVELS.items() for x in kv])
 
-    def read(m: Column) -> Column:
+    # In steps, so that each text is searched once.
+    def opened(m: Column) -> Column:
         paren = m["at"] + F.char_length(T.extract(m["part"], F.lit(call), F.lit(0))) - 1
-        close = T.closing(F.substring(masked, paren + 1, F.char_length(masked)), "()")
-        return F.struct(
-            m["line"].alias("line"), T.extract(m["part"], F.lit(call), F.lit(1)).alias("verb"),
-            F.substring(body, paren + 2, F.greatest(F.lit(0), close - 1)).alias("args"))
+        return F.struct(m["line"].alias("line"), T.extract(m["part"], F.lit(call), F.lit(1)).alias("verb"), paren.alias("paren"))
+
+    def ahead(x: Column) -> Column:
+        return F.struct(x["line"].alias("line"), x["verb"].alias("verb"), x["paren"].alias("paren"),
+                        F.substring(masked, x["paren"] + 1, F.char_length(masked)).alias("rest"))
+
+    def read(x: Column) -> Column:
+        return F.struct(x["line"].alias("line"), x["verb"].alias("verb"),
+                        F.substring(body, x["paren"] + 2, F.greatest(F.lit(0), T.closing(x["rest"], "()") - 1)).alias("args"))
+
+    def lead(x: Column) -> Column:
+        return F.struct(x["line"].alias("line"), x["verb"].alias("verb"), x["args"].alias("args"),
+                        T.extract(x["args"], F.lit(rf"(?U)\A\s*({P.STRING})"), F.lit(0)).alias("lead"))
 
     def message(x: Column) -> Column:
-        lead = T.extract(x["args"], F.lit(rf"(?U)\A\s*({P.STRING})"), F.lit(0))
-        literal = T.extract(x["args"], F.lit(rf"(?U)\A\s*({P.STRING})"), F.lit(1))
         plain = F.coalesce(F.get(F.split(T.strip(x["args"]), ",", -1), F.lit(0)), F.lit(""))
         return F.struct(
             x["line"].alias("line"), x["verb"].alias("verb"), x["args"].alias("args"),
-            F.when(lead != "", literal).otherwise(plain).alias("message"),
-            F.when(lead != "", F.substring(x["args"], F.char_length(lead) + 1, F.char_length(x["args"]))).otherwise("").alias("rest"))
+            F.when(x["lead"] != "", F.regexp_replace(x["lead"], F.lit(r"(?U)\A\s+"), F.lit(""))).otherwise(plain).alias("message"),
+            F.when(x["lead"] != "", F.substring(x["args"], F.char_length(x["lead"]) + 1, F.char_length(x["args"]))).otherwise("").alias("rest"))
 
     def judged(x: Column, i: Column) -> Column:
         structured = (
@@ -95,9 +103,11 @@ def with_logs(df: DataFrame) -> DataFrame:
             F.lit("unknown").alias("logger_type"), F.left(short, F.lit(200)).alias("message_pattern"),
             structured.alias("structured"), T.is_sensitive_log(x["message"], x["rest"]).alias("sensitive"))
 
-    calls = F.transform(F.transform(T.places("masked_body", call), read), message)
+    calls = T.places("masked_body", call)
+    for step in (opened, ahead, read, lead, message):
+        calls = F.transform(calls, step)
     kind = "array<struct<line:int,log_ord:int,level:string,logger_type:string,message_pattern:string,structured:boolean,sensitive:boolean>>"
-    return df.withColumn("logs", F.when(F.rlike(masked, F.lit(call)), F.transform(calls, judged)).otherwise(F.array().cast(kind)))
+    return df.withColumn("logs", F.transform(calls, judged).cast(kind))
 
 
 def with_exceptions(df: DataFrame) -> DataFrame:
@@ -105,25 +115,40 @@ def with_exceptions(df: DataFrame) -> DataFrame:
     body, masked = F.col("body"), F.col("masked_body")
     kind = "array<struct<at:int,line:int,kind:string,end:int,logged:boolean>>"
 
-    def caught(m: Column) -> Column:
-        brace = m["at"] + F.char_length(T.extract(m["part"], F.lit(T.unicode(P.CATCH)), F.lit(0))) - 1
-        close = brace + T.closing(F.substring(masked, brace + 1, F.char_length(masked)), "{}")
-        block = F.substring(body, brace + 1, close - brace + 1)
-        logged = F.rlike(block, F.lit(T.unicode(P.ERROR_LOG))) | F.contains(block, F.lit("printStackTrace"))
-        return F.struct(m["at"].alias("at"), m["line"].alias("line"), F.lit("TRY_CATCH").alias("kind"),
-                        T.newlines(F.left(masked, close)).alias("end"), logged.alias("logged"))
+    # In steps, so that each text is searched once.
+    def opened(m: Column) -> Column:
+        return F.struct(m["at"].alias("at"), m["line"].alias("line"),
+                        (m["at"] + F.char_length(T.extract(m["part"], F.lit(T.unicode(P.CATCH)), F.lit(0))) - 1).alias("brace"))
+
+    def ahead(x: Column) -> Column:
+        return F.struct(x["at"].alias("at"), x["line"].alias("line"), x["brace"].alias("brace"),
+                        F.substring(masked, x["brace"] + 1, F.char_length(masked)).alias("rest"))
+
+    def closed(x: Column) -> Column:
+        return F.struct(x["at"].alias("at"), x["line"].alias("line"), x["brace"].alias("brace"), (x["brace"] + T.closing(x["rest"], "{}")).alias("close"))
+
+    def block(x: Column) -> Column:
+        return F.struct(x["at"].alias("at"), x["line"].alias("line"), x["close"].alias("close"),
+                        F.substring(body, x["brace"] + 1, x["close"] - x["brace"] + 1).alias("block"))
+
+    def caught(x: Column) -> Column:
+        logged = F.contains(x["block"], F.lit("printStackTrace")) | F.rlike(x["block"], F.lit(T.unicode(P.ERROR_LOG)))
+        return F.struct(x["at"].alias("at"), x["line"].alias("line"), F.lit("TRY_CATCH").alias("kind"),
+                        T.newlines(F.left(masked, x["close"])).alias("end"), logged.alias("logged"))
 
     def thrown(m: Column) -> Column:
         lo = F.greatest(F.lit(0), m["at"] - 200)
         logged = F.rlike(F.substring(body, lo + 1, m["at"] - lo), F.lit(T.unicode(P.ERROR_LOG)))
         return F.struct(m["at"].alias("at"), m["line"].alias("line"), F.lit("THROW").alias("kind"), m["line"].alias("end"), logged.alias("logged"))
 
-    def guarded(pattern: str, made) -> Column:
-        pattern = T.unicode(pattern)
-        return F.when(F.rlike(masked, F.lit(pattern)), F.transform(T.places("masked_body", pattern), made)).otherwise(F.array().cast(kind)).cast(kind)
+    def found_of(pattern: str, *steps) -> Column:
+        found = T.places("masked_body", T.unicode(pattern))
+        for step in steps:
+            found = F.transform(found, step)
+        return found.cast(kind)
 
     # By line; on one line catch blocks come before throws.
-    found = F.concat(guarded(P.CATCH, caught), guarded(P.THROW, thrown))
+    found = F.concat(found_of(P.CATCH, opened, ahead, closed, block, caught), found_of(P.THROW, thrown))
     ordered = F.array_sort(F.transform(found, lambda x: F.struct(
         (F.col("body_line") + x["line"]).alias("start_line"), (x["kind"] == "THROW").cast("int").alias("k"), x["at"].alias("at"), x["kind"].alias("kind"),
         (F.col("body_line") + x["end"]).alias("end_line"), x["logged"].alias("logged"))))

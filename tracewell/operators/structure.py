@@ -1,11 +1,11 @@
 """From source files to methods: one narrow pass over each file, without a shuffle.
 
-The masked text is split before each brace, parenthesis and semicolon. One fold
-over these parts keeps a stack of parentheses and one of braces; a brace that
-follows a closed parameter list opens a method, one after a type declaration a
-type, and the closing brace completes both. The fold's state holds only what is
-open and the methods and types found, so a file costs time in proportion to its
-text and every file is a row of its own.
+The masked text is split before each brace and parenthesis. One fold over these
+parts keeps a stack of parentheses and one of braces; a brace that follows a
+closed parameter list may open a method, one after a type declaration a type,
+and the closing brace completes both. The fold's state holds only the places of
+what is open and of what was found; names are read afterwards from the texts
+before the parameter lists that a brace follows. Every file is a row of its own.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from tracewell.functions import text as T
 
 _NAME = r"(?U)[A-Za-z_$][\w$]*\s*\z"
 _THROWS = r"(?U)\A\)\s*(?:throws\s+([\w.,\s]+?))?\s*\z"
+_DELIMITED = r"(?s)\A(?:.*;|[{}()])"
 _BEFORE = r"(?U)[A-Za-z_$][\w$<>\[\].,?\s]*\z"
 _RETURN = r"(?U)([\w$][\w$<>\[\],.?\s]*?)\s*\z"
 _TYPE = r"(?U)\b(class|interface|enum|record)\s+([A-Za-z_$][\w$]*)"
@@ -29,88 +30,89 @@ def _words(words: tuple[str, ...]) -> str:
 
 
 def _strip(c: str) -> str:
-    return rf"regexp_replace({c}, {T.raw(rf'\A{T.SPACE}+|{T.SPACE}+\z')}, '')"
+    return f"btrim({c}, {T.raw(T.SPACE)})"
 
 
-# What the parts of the split tell, in steps so that each text is searched once.
-#: Each part with its opening character.
-_STEP_1 = f"""transform(split(masked, {T.raw(r'(?=[{}();])')}, -1), p -> named_struct('p', p,
-  'ch', CASE WHEN left(p, 1) IN ('{{', '}}', '(', ')', ';') THEN left(p, 1) ELSE '' END))"""
-#: The name that ends a part, where a parenthesis follows.
-_STEP_2 = f"""transform(_p1, (x, i) -> named_struct('p', x.p, 'ch', x.ch,
-  'tail', CASE WHEN get(_p1, i + 1).ch = '(' THEN regexp_extract(x.p, {T.raw(_NAME)}, 0) ELSE '' END))"""
-#: What stands before the name.
-_STEP_3 = f"""transform(_p2, x -> named_struct('p', x.p, 'ch', x.ch, 'name_at', char_length(x.p) - char_length(x.tail),
-  'name', CASE WHEN x.tail <> '' THEN {_strip('x.tail')} ELSE '' END,
-  'before', CASE WHEN x.tail <> '' THEN
-     {_strip("right(substr(left(x.p, char_length(x.p) - char_length(x.tail)), char_length(x.ch) + 1), 120)")} ELSE '' END))"""
-#: Whether the name may be a method's.
-_STEP_4 = f"""transform(_p3, x -> named_struct('p', x.p, 'ch', x.ch, 'name_at', x.name_at, 'name', x.name, 'before', x.before,
-  'cand', x.before <> '' AND x.name NOT IN ({_words((*P.KEYWORDS, *P.MODIFIERS))}) AND x.before RLIKE {T.raw(_BEFORE)}
-          AND NOT endswith(x.before, '.') AND NOT endswith(x.before, '=') AND NOT endswith(x.before, 'return')))"""
-_RETURNED = f"""array_join(filter(split(regexp_extract(regexp_replace(x.before, {T.raw(r'(?U)\s+')}, ' '), {T.raw(_RETURN)}, 1), ' '),
-    w -> w <> '' AND w NOT IN ({_words(P.MODIFIERS)})), ' ')"""
-_PARTS = f"""transform(_p4, x -> named_struct(
-  'ch', x.ch, 'len', char_length(x.p), 'lines', char_length(x.p) - char_length(replace(x.p, chr(10), '')),
-  'cand', x.cand, 'name', x.name, 'name_at', x.name_at,
-  'name_line', CASE WHEN x.cand THEN char_length(left(x.p, x.name_at)) - char_length(replace(left(x.p, x.name_at), chr(10), '')) ELSE 0 END,
-  'ret', CASE WHEN x.cand THEN coalesce(nullif({_RETURNED}, ''), 'void') ELSE '' END,
-  'opens', x.ch = ')' AND char_length(x.p) <= 400 AND x.p RLIKE {T.raw(_THROWS)},
-  'throws', CASE WHEN x.ch = ')' THEN {_strip(f"regexp_extract(x.p, {T.raw(_THROWS)}, 1)")} <> '' ELSE false END,
-  'types', transform({T.places_sql('x.p', _TYPE)}, m -> named_struct('at', m.at,
-      'kind', regexp_extract(m.part, {T.raw(_TYPE)}, 1), 'name', regexp_extract(m.part, {T.raw(_TYPE)}, 2)))))"""
-
-
-_HINT = "struct<cand:boolean,name:string,at:int,line:int,ret:string,from:int,to:int,throws:boolean>"
-_METHOD = "struct<at:int,line:int,name:string,ret:string,from:int,to:int,throws:boolean,open:int,body_line:int,close:int,end_line:int>"
-_TYPES = "array<struct<at:int,kind:string,name:string>>"
-_SPAN = "struct<at:int,kind:string,name:string,close:int>"
-
-# s is the state and p the part; the character of p stands at s.at on line s.line (from 0).
+# The fold keeps places only; names are read from the text of the few parts that matter.
+#: Each part with its first character's code, and whether a type may be declared in it.
+_PARTS = f"""transform(_split, (p, i) -> named_struct('ch', ascii(p), 'len', char_length(p),
+  'lines', char_length(p) - char_length(replace(p, chr(10), '')),
+  'typed', contains(p, 'class') OR contains(p, 'interface') OR contains(p, 'enum') OR contains(p, 'record'),
+  'opens', CASE WHEN ascii(p) = 41 AND ascii(get(_split, i + 1)) = 123 AND char_length(p) <= 400 THEN p RLIKE {T.raw(_THROWS)} ELSE false END))"""
+
+#: A parameter list: part and place of the text before it, its bounds and the part that follows it.
+_LIST = "struct<part:int,at:int,line:int,from:int,to:int,after:int>"
+_BRACE = f"struct<open:int,line:int,since:int,typed:boolean,m:{_LIST}>"
+_FOUND = f"struct<m:{_LIST},open:int,body_line:int,close:int,end_line:int>"
+_SPAN = "struct<since:int,open:int,close:int>"
+
+
+def _state(**changes: str) -> str:
+    """The fold's next state after a part; what is not named stays, but done, which holds for one part."""
+    state = {
+        "i": "s.i + 1", "at": "s.at + p.len", "line": "s.line + p.lines", "since": "s.since", "typed": "s.typed OR p.typed",
+        "before_at": "s.at", "before_line": "s.line", "done": f"CAST(NULL AS {_LIST})",
+        "parens": "s.parens", "braces": "s.braces", "methods": "s.methods", "types": "s.types",
+    } | changes
+    return "named_struct({})".format(", ".join(f"'{k}', {v}" for k, v in state.items()))
+
+
+def _on(character: str, **changes: str) -> str:
+    return f"WHEN p.ch = {ord(character)} THEN {_state(**changes)}"
+
+
+# s is the state and p the part; the first character of p stands at s.at on line s.line (from 0).
+_TOP = "element_at(s.braces, -1)"
 _FOLD = f"""
 aggregate(_parts,
-  named_struct('at', 0, 'line', 0, 'last', '', 'opens', false, 'throws', false,
-    'hint', CAST(NULL AS {_HINT}), 'done', CAST(NULL AS {_HINT}),
-    'parens', CAST(array() AS array<{_HINT}>),
-    'braces', CAST(array() AS array<struct<open:int,line:int,m:{_HINT},t:{_TYPES}>>),
-    'pending', CAST(array() AS {_TYPES}),
-    'methods', CAST(array() AS array<{_METHOD}>), 'types', CAST(array() AS array<{_SPAN}>)),
-  (s, p) -> named_struct(
-    'at', s.at + p.len,
-    'line', s.line + p.lines,
-    'last', p.ch,
-    'opens', p.opens,
-    'throws', p.throws,
-    'hint', named_struct('cand', p.cand, 'name', p.name, 'at', s.at + p.name_at, 'line', s.line + p.name_line, 'ret', p.ret,
-                         'from', s.at + p.len + 1, 'to', 0, 'throws', false),
-    'done', CASE WHEN p.ch = ')' AND size(s.parens) > 0 THEN named_struct(
-        'cand', s.parens[size(s.parens) - 1].cand, 'name', s.parens[size(s.parens) - 1].name, 'at', s.parens[size(s.parens) - 1].at,
-        'line', s.parens[size(s.parens) - 1].line, 'ret', s.parens[size(s.parens) - 1].ret,
-        'from', s.parens[size(s.parens) - 1].from, 'to', s.at, 'throws', p.throws) END,
-    'parens', CASE WHEN p.ch = '(' THEN concat(s.parens, array(s.hint))
-                   WHEN p.ch = ')' AND size(s.parens) > 0 THEN slice(s.parens, 1, size(s.parens) - 1) ELSE s.parens END,
-    'braces', CASE WHEN p.ch = '{{' THEN concat(s.braces, array(named_struct('open', s.at, 'line', s.line,
-                        'm', CASE WHEN s.last = ')' AND s.opens AND s.done.cand THEN s.done END, 't', s.pending)))
-                   WHEN p.ch = '}}' AND size(s.braces) > 0 THEN slice(s.braces, 1, size(s.braces) - 1) ELSE s.braces END,
-    'pending', concat(CASE WHEN p.ch = '{{' THEN CAST(array() AS {_TYPES}) ELSE s.pending END,
-                      transform(p.types, t -> named_struct('at', s.at + t.at, 'kind', t.kind, 'name', t.name))),
-    'methods', CASE WHEN p.ch = '}}' AND size(s.braces) > 0 AND s.braces[size(s.braces) - 1].m IS NOT NULL
-                    THEN concat(s.methods, transform(slice(s.braces, size(s.braces), 1), b -> {{method}})) ELSE s.methods END,
-    'types', CASE WHEN p.ch = '}}' AND size(s.braces) > 0
-                  THEN concat(s.types, transform(s.braces[size(s.braces) - 1].t, t -> named_struct('at', t.at, 'kind', t.kind, 'name', t.name, 'close', s.at)))
-                  ELSE s.types END),
+  named_struct('i', 0, 'at', 0, 'line', 0, 'since', 0, 'typed', false, 'before_at', 0, 'before_line', 0, 'done', CAST(NULL AS {_LIST}),
+    'parens', CAST(array() AS array<{_LIST}>), 'braces', CAST(array() AS array<{_BRACE}>),
+    'methods', CAST(array() AS array<{_FOUND}>), 'types', CAST(array() AS array<{_SPAN}>)),
+  (s, p) -> CASE
+    {_on('(', parens="concat(s.parens, array(named_struct('part', s.i - 1, 'at', s.before_at, 'line', s.before_line, 'from', s.at + 1, 'to', 0, 'after', 0)))")}
+    {_on(')',
+            done=f"""CASE WHEN p.opens AND size(s.parens) > 0 THEN transform(slice(s.parens, -1, 1), m -> named_struct('part', m.part, 'at', m.at,
+                'line', m.line, 'from', m.from, 'to', s.at, 'after', s.i))[0] END""",
+            parens="CASE WHEN size(s.parens) > 0 THEN slice(s.parens, 1, size(s.parens) - 1) ELSE s.parens END")}
+    {_on('{', since="s.at", typed="p.typed",
+            braces="concat(s.braces, array(named_struct('open', s.at, 'line', s.line, 'since', s.since, 'typed', s.typed, 'm', s.done)))")}
+    {_on('}',
+            braces="CASE WHEN size(s.braces) > 0 THEN slice(s.braces, 1, size(s.braces) - 1) ELSE s.braces END",
+            methods=f"""CASE WHEN size(s.braces) > 0 AND {_TOP}.m IS NOT NULL THEN concat(s.methods, array(named_struct('m', {_TOP}.m, 'open', {_TOP}.open,
+                'body_line', {_TOP}.line, 'close', s.at, 'end_line', s.line))) ELSE s.methods END""",
+            types=f"""CASE WHEN size(s.braces) > 0 AND {_TOP}.typed THEN concat(s.types, array(named_struct('since', {_TOP}.since, 'open', {_TOP}.open,
+                'close', s.at))) ELSE s.types END""")}
+    ELSE {_state()} END,
   s -> named_struct(
-    'methods', array_sort(concat(s.methods, transform(filter(s.braces, b -> b.m IS NOT NULL), b -> {{rest}}))),
-    'types', array_sort(concat(s.types, flatten(transform(s.braces, b -> transform(b.t, t ->
-        named_struct('at', t.at, 'kind', t.kind, 'name', t.name, 'close', s.at - 1))))))))
+    'methods', concat(s.methods, transform(filter(s.braces, b -> b.m IS NOT NULL), b -> named_struct('m', b.m, 'open', b.open,
+        'body_line', b.line, 'close', s.at - 1, 'end_line', s.line))),
+    'types', concat(s.types, transform(filter(s.braces, b -> b.typed), b -> named_struct('since', b.since, 'open', b.open, 'close', s.at - 1)))))
 """
 
-
-def _method_sql(close: str) -> str:
-    return (
-        "named_struct('at', b.m.at, 'line', b.m.line, 'name', b.m.name, 'ret', b.m.ret, 'from', b.m.from, 'to', b.m.to, "
-        f"'throws', b.m.throws, 'open', b.open, 'body_line', b.line, 'close', {close}, 'end_line', s.line)"
-    )
+# What stands before a parameter list, in steps so that each text is searched once.
+#: The text before it, from the last bracket or semicolon on.
+_STEP_1 = f"""transform(_found.methods, x -> named_struct('x', x, 'p', CASE WHEN x.m.part < 0 THEN '' ELSE _split[x.m.part] END))"""
+#: The name that ends it.
+_STEP_2 = f"""transform(_p1, x -> named_struct('x', x.x, 'p', x.p, 'tail', regexp_extract(x.p, {T.raw(_NAME)}, 0)))"""
+#: What stands before the name.
+_STEP_3 = f"""transform(filter(_p2, x -> x.tail <> ''), x -> named_struct('x', x.x, 'p', x.p, 'name_at', char_length(x.p) - char_length(x.tail),
+  'name', {_strip('x.tail')},
+  'before', {_strip(f"right(regexp_replace(left(x.p, char_length(x.p) - char_length(x.tail)), {T.raw(_DELIMITED)}, ''), 120)")}))"""
+#: The names that may be a method's.
+_STEP_4 = f"""filter(_p3, x -> x.before <> '' AND x.name NOT IN ({_words((*P.KEYWORDS, *P.MODIFIERS))}) AND x.before RLIKE {T.raw(_BEFORE)}
+          AND NOT endswith(x.before, '.') AND NOT endswith(x.before, '=') AND NOT endswith(x.before, 'return'))"""
+_RETURNED = f"""array_join(filter(split(regexp_extract(regexp_replace(x.before, {T.raw(r'(?U)\s+')}, ' '), {T.raw(_RETURN)}, 1), ' '),
+    w -> w <> '' AND w NOT IN ({_words(P.MODIFIERS)})), ' ')"""
+_METHODS = f"""array_sort(transform(_p4, x -> named_struct(
+  'at', x.x.m.at + x.name_at,
+  'line', x.x.m.line + char_length(left(x.p, x.name_at)) - char_length(replace(left(x.p, x.name_at), chr(10), '')),
+  'name', x.name, 'ret', coalesce(nullif({_RETURNED}, ''), 'void'), 'from', x.x.m.from, 'to', x.x.m.to,
+  'throws', {_strip(f"regexp_extract(_split[x.x.m.after], {T.raw(_THROWS)}, 1)")} <> '',
+  'open', x.x.open, 'body_line', x.x.body_line, 'close', x.x.close, 'end_line', x.x.end_line)))"""
+#: Each declaration belongs to the next brace; one without a brace is none.
+_TYPES = f"""array_sort(filter(transform({T.places_sql('masked', _TYPE)}, t -> named_struct('at', t.at,
+    'kind', regexp_extract(t.part, {T.raw(_TYPE)}, 1), 'name', regexp_extract(t.part, {T.raw(_TYPE)}, 2),
+    'close', get(filter(_found.types, b -> b.since <= t.at AND t.at < b.open), 0).close)), t -> t.close IS NOT NULL))"""
 
 
 def files(sources: DataFrame) -> DataFrame:
@@ -125,19 +127,16 @@ def files(sources: DataFrame) -> DataFrame:
         "file_hash": F.sha2("content", 256),
         "line_count": T.newlines(F.col("content")) + 1,
         "is_test": F.contains("path", F.lit("/src/test/")) | F.endswith(low, F.lit("test.java")) | F.endswith(low, F.lit("tests.java")),
-        "package": F.nullif(T.extract("masked", F.lit(r"(?mU)^\s*package\s+([\w.]+)\s*;"), F.lit(1)), F.lit("")),
-        "imports": F.regexp_extract_all("masked", F.lit(r"(?mU)^\s*import\s+(?:static\s+)?([\w.*]+)\s*;"), F.lit(1)),
-        "_p1": F.expr(_STEP_1),
+        "package": F.nullif(T.extract("masked", F.lit(r"(?mU)^[^\S\n]*+package\s+([\w.]+)\s*;"), F.lit(1)), F.lit("")),
+        "imports": F.regexp_extract_all("masked", F.lit(r"(?mU)^[^\S\n]*+import\s+(?:static\s+)?([\w.*]+)\s*;"), F.lit(1)),
+        "_split": F.split("masked", r"(?=[{}()])", -1),
     })
-    for name, step in (("_p2", _STEP_2), ("_p3", _STEP_3), ("_p4", _STEP_4), ("_parts", _PARTS)):
+    steps = (("_parts", _PARTS), ("_found", _FOLD), ("_p1", _STEP_1), ("_p2", _STEP_2), ("_p3", _STEP_3), ("_p4", _STEP_4), ("_methods", _METHODS), ("types", _TYPES))
+    for name, step in steps:
         df = df.withColumn(name, F.expr(step))
-    fold = _FOLD.replace("{method}", _method_sql("s.at")).replace("{rest}", _method_sql("s.at - 1"))
-    df = df.withColumn("_found", F.expr(fold)).drop("_p1", "_p2", "_p3", "_p4", "_parts")
-    named = lambda *kinds: F.transform(F.filter("_found.types", lambda t: t["kind"].isin(*kinds)), lambda t: t["name"])
-    return df.withColumns({
-        "classes": named("class", "enum", "record"), "interfaces": named("interface"),
-        "types": F.col("_found.types"), "_methods": F.col("_found.methods"),
-    }).drop("_found")
+    df = df.drop("_split", "_parts", "_found", "_p1", "_p2", "_p3", "_p4")
+    named = lambda *kinds: F.transform(F.filter("types", lambda t: t["kind"].isin(*kinds)), lambda t: t["name"])
+    return df.withColumns({"classes": named("class", "enum", "record"), "interfaces": named("interface")})
 
 
 def _parameters(c: Column) -> Column:
