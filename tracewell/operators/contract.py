@@ -125,9 +125,12 @@ def numbered(found: DataFrame) -> DataFrame:
     from tracewell.operators.store import durable
 
     scan = ["scan_id"] if "scan_id" in found.columns else []
-    order = [*scan, F.desc(rank(F.col("priority"))), "path", "line", "method_ord", "emit", "sub"]
+    order = [*scan, F.desc("_rank"), "path", "line", "method_ord", "emit", "sub"]
+    # Ranges are found by a sample, so what an analysis gives is shuffled once before it instead of made twice
+    # (the column between keeps the optimizer from merging both).
+    dealt = found.repartition(*scan, "path", "line", "method_ord", "emit", "sub").withColumn("_rank", rank(F.col("priority")))
     # The parts must not be dealt anew, so they are written once.
-    parts = durable(found.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    parts = durable(dealt.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     # A row for each part (and scan); a scan's parts follow each other.
     sizes = parts.groupBy(*scan, "_part").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*(scan or [F.lit(0)])).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
