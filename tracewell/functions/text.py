@@ -15,8 +15,9 @@ from tracewell import patterns as P
 SPACE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
 
 
-def unicode(pattern: str) -> str:
-    return f"(?U){pattern}"
+def unicode(pattern: str, ahead: str = "") -> str:
+    """pattern with Unicode classes; ahead is what every match begins with, told more cheaply than by the pattern."""
+    return f"(?U)(?={ahead})(?:{pattern})" if ahead else f"(?U){pattern}"
 
 
 def extract(c: str | Column, pattern: Column, group: Column) -> Column:
@@ -77,20 +78,26 @@ def _needed(tree) -> tuple[str, ...]:
             each = [_needed(b) for b in arg[1]]
             options.append(tuple(w for words in each for w in words) if all(each) else ())
     best = max(options, key=lambda words: min(map(len, words), default=0), default=())
-    return tuple(w for w in dict.fromkeys(best) if not any(v != w and v in w for v in best))
+    return tuple(w for w in dict.fromkeys(best) if not any(v != w and v in w for v in best)) if " " not in "".join(best) else ()
 
 
 def may_match(c: str, pattern: str) -> str:
     """SQL: whether c holds a text that every match of pattern needs; plain searches cost a fraction of the pattern's."""
-    return "({})".format(" OR ".join(f"contains({c}, {raw(w)})" for w in needed(pattern)) or "true")
+    words = needed(pattern)
+    return "({})".format(" OR ".join(f"contains({c}, {raw(w)})" for w in words)) if words else f"{c} RLIKE {raw(pattern)}"
 
 
-def places_sql(c: str, pattern: str) -> str:
+def dense(c: str) -> str:
+    """SQL: c without most of its spaces, for may_match; words stay whole."""
+    return f"replace(replace({c}, '    ', ''), '  ', '')"
+
+
+def places_sql(c: str, pattern: str, dense: str | None = None) -> str:
     """SQL: all matches of pattern in c, leftmost first and without overlap: array of (at, line, part).
 
     at counts characters from 0 and line line feeds before it; part is the text
     from the match to the next one. Texts without what a match needs cost plain
-    searches, and others without a match one search more.
+    searches only, in dense(c) where that is at hand.
     """
     rx = raw(pattern)
     # Gaps and matches are paired, so no character of the text can be taken for a mark.
@@ -102,7 +109,7 @@ def places_sql(c: str, pattern: str) -> str:
             'out', concat(s.out, array(named_struct('at', s.at, 'line', s.line, 'part', p)))),
         s -> slice(s.out, 2, size(s.out)))"""
     # The first part lies before any match, so it is left out.
-    return f"CASE WHEN {may_match(c, pattern)} AND {c} RLIKE {rx} THEN {fold} ELSE CAST(array() AS {PLACES}) END"
+    return f"CASE WHEN {may_match(dense if dense and needed(pattern) else c, pattern)} THEN {fold} ELSE CAST(array() AS {PLACES}) END"
 
 
 def places(column: str, pattern: str) -> Column:

@@ -18,10 +18,10 @@ OP = "array<struct<line:int,is_io:boolean,operation_type:string,priority:string,
 _HIT = "array<struct<line:int,label:string,priority:string>>"
 
 
-def _hits(body: str, table: tuple, keep: str = "true") -> str:
+def _hits(body: str, table: tuple, keep: str = "true", dense: str | None = None) -> str:
     """SQL: (line, label, priority) of every match m of every pattern in table for which keep holds."""
     each = [
-        f"transform(filter({T.places_sql(body, T.unicode(pattern))}, m -> {keep}), m -> named_struct('line', m.line, 'label', '{label}', 'priority', '{priority}'))"
+        f"transform(filter({T.places_sql(body, T.unicode(pattern), dense)}, m -> {keep}), m -> named_struct('line', m.line, 'label', '{label}', 'priority', '{priority}'))"
         for label, pattern, priority in table
     ]
     return f"concat({', '.join(each)})"
@@ -32,14 +32,14 @@ def with_operations(df: DataFrame) -> DataFrame:
     body = F.col("body")
     # No text that speaks against Spark in the 80 characters before the call.
     before = "substr(masked_body, greatest(0, m.at - 80) + 1, m.at - greatest(0, m.at - 80))"
-    ambiguous = _hits("masked_body", P.AMBIGUOUS, f"NOT {before} RLIKE {T.raw(T.unicode(P.OTHER_RECEIVERS))}")
+    ambiguous = _hits("masked_body", P.AMBIGUOUS, f"NOT {before} RLIKE {T.raw(T.unicode(P.OTHER_RECEIVERS))}", "_dense")
     in_sight = f"spark_import OR masked_body RLIKE {T.raw(T.unicode(P.SPARK_TYPES))}"
     io = [
-        f"transform({T.places_sql('masked_body', T.unicode(pattern))}, m -> named_struct('line', m.line, 'k', {k}, 'kind', '{kind}'))"
+        f"transform({T.places_sql('masked_body', T.unicode(pattern), '_dense')}, m -> named_struct('line', m.line, 'k', {k}, 'kind', '{kind}'))"
         for k, (kind, pattern) in enumerate(P.EXTERNAL_IO)
     ]
-    df = df.withColumns({
-        "_hits": F.expr(f"concat({_hits('masked_body', P.STRONG)}, CASE WHEN {in_sight} THEN {ambiguous} ELSE CAST(array() AS {_HIT}) END, {_hits('body', P.FORMATS)})"),
+    df = df.withColumn("_dense", F.expr(T.dense("masked_body"))).withColumns({
+        "_hits": F.expr(f"concat({_hits('masked_body', P.STRONG, dense='_dense')}, CASE WHEN {in_sight} THEN {ambiguous} ELSE CAST(array() AS {_HIT}) END, {_hits('body', P.FORMATS)})"),
         "_io": F.expr(f"array_sort(concat({', '.join(io)}))"),
     })
 
@@ -56,7 +56,7 @@ def with_operations(df: DataFrame) -> DataFrame:
     io_ops = F.transform(first_of_line, lambda x: F.struct(
         (F.col("body_line") + x["line"]).alias("line"), F.lit(True).alias("is_io"), F.lit("EXTERNAL_IO").alias("operation_type"),
         F.lit("MEDIUM").alias("priority"), F.concat(F.lit("["), x["kind"], F.lit("] "), T.snippet(body, x["line"])).alias("snippet")))
-    return df.withColumn("ops", F.array_sort(F.concat(spark_ops, io_ops)).cast(OP)).drop("_hits", "_io")
+    return df.withColumn("ops", F.array_sort(F.concat(spark_ops, io_ops)).cast(OP)).drop("_dense", "_hits", "_io")
 
 
 def _same(x: Column, label: str):
@@ -66,7 +66,7 @@ def _same(x: Column, label: str):
 def with_logs(df: DataFrame) -> DataFrame:
     """df with logs: (line, log_ord, level, logger_type, message_pattern, structured, sensitive)."""
     body, masked = F.col("body"), F.col("masked_body")
-    call = T.unicode(P.LOGGER_CALL)
+    call = T.unicode(P.LOGGER_CALL, r"[a-zA-Z_]++\s*+\.")
     levels = F.create_map(*[F.lit(x) for kv in P.LEVELS.items() for x in kv])
 
     # In steps, so that each text is searched once.
@@ -141,14 +141,14 @@ def with_exceptions(df: DataFrame) -> DataFrame:
         logged = F.rlike(F.substring(body, lo + 1, m["at"] - lo), F.lit(T.unicode(P.ERROR_LOG)))
         return F.struct(m["at"].alias("at"), m["line"].alias("line"), F.lit("THROW").alias("kind"), m["line"].alias("end"), logged.alias("logged"))
 
-    def found_of(pattern: str, *steps) -> Column:
-        found = T.places("masked_body", T.unicode(pattern))
+    def found_of(pattern: str, first: str, *steps) -> Column:
+        found = T.places("masked_body", T.unicode(pattern, first))
         for step in steps:
             found = F.transform(found, step)
         return found.cast(kind)
 
     # By line; on one line catch blocks come before throws.
-    found = F.concat(found_of(P.CATCH, opened, ahead, closed, block, caught), found_of(P.THROW, thrown))
+    found = F.concat(found_of(P.CATCH, "c", opened, ahead, closed, block, caught), found_of(P.THROW, "t", thrown))
     ordered = F.array_sort(F.transform(found, lambda x: F.struct(
         (F.col("body_line") + x["line"]).alias("start_line"), (x["kind"] == "THROW").cast("int").alias("k"), x["at"].alias("at"), x["kind"].alias("kind"),
         (F.col("body_line") + x["end"]).alias("end_line"), x["logged"].alias("logged"))))

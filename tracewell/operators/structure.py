@@ -21,7 +21,7 @@ _THROWS = r"(?U)\A\)\s*(?:throws\s+([\w.,\s]+?))?\s*\z"
 _DELIMITED = r"(?s)\A(?:.*;|[{}()])"
 _BEFORE = r"(?U)[A-Za-z_$][\w$<>\[\].,?\s]*\z"
 _RETURN = r"(?U)([\w$][\w$<>\[\],.?\s]*?)\s*\z"
-_TYPE = r"(?U)\b(class|interface|enum|record)\s+([A-Za-z_$][\w$]*)"
+_TYPE = r"(?U)(?=[cier])\b(class|interface|enum|record)\s+([A-Za-z_$][\w$]*)"
 _TYPE_LIST = "array<struct<at:int,kind:string,name:string>>"
 
 
